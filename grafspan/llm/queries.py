@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, quality, sharding, url_filter
 from .shared import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -66,11 +66,47 @@ FROM r
 """
 
 
+#: The rules of the URL query, and the hosts whose pages make up its list.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+LISTED_HOSTS = r"^(www\.|m\.|blog\.)?(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs of all pages on hosts known for spam."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("canonical"))
+    return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+c AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^(www|m|blog)\.([^.]+\.)', '\2'), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS canonical,
+         regexp_matches(host, '^(www\.|m\.|blog\.)?(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\.') AS bad FROM p),
+r AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, q, v)),
+m AS (
+  SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
+  FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT c.page_id, c.host, c.path, m.rule,
+       coalesce(m.v, CASE WHEN c.host <> '' AND c.canonical IN (SELECT canonical FROM c WHERE bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN m ON c.page_id = m.page_id
+"""
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_url_filter": op3_url_filter,
     "op5_quality": op5_quality,
+    "op9_sharding": op9_sharding,
 }
 ORACLES: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op3_url_filter": OP3_SQL,
     "op5_quality": OP5_SQL,
 }
