@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, url_filter
+from . import mixing, neardup, quality, sharding, url_filter
 from .shared import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -95,6 +95,10 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id
 """
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(table(spark, sf_dir, "documents"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text")
 
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op5_quality": op5_quality,
+    "op7_neardup": op7_neardup,
     "op9_sharding": op9_sharding,
 }
 ORACLES: dict[str, str] = {
