@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, quality, secrets, sharding, url_filter
+from . import decontaminate, mixing, neardup, quality, secrets, sharding, url_filter
 from .shared import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -105,6 +105,10 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text")
 
@@ -115,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op7_neardup": op7_neardup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
 }
 ORACLES: dict[str, str] = {

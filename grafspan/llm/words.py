@@ -9,6 +9,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: As SPACE, and ASCII punctuation separates words too.
+MARKS = SPACE.copy()
+MARKS[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 _PLACES = 64
 #: One random number for each byte at each place: two words share a sum with a chance of 2**-64.
 _ZOBRIST = np.random.default_rng(20_240_501).integers(0, 2**64, (_PLACES, 256), dtype=np.uint64)
@@ -35,12 +38,12 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def hashed(data: np.ndarray, offs: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, text) of all words; A-Z count as a-z. Words end where a text ends."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    inside = ~SPACE[data]
+    inside = ~gaps[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     begins = offs[:-1][offs[:-1] < len(data)]
@@ -61,6 +64,39 @@ def hashed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, start, start + count, np.searchsorted(offs, start, side="right") - 1
 
 
+class Lookup:
+    """Places of 64-bit numbers in a fixed list: two tries in open tables, and a search for the few that fit in neither."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys.astype(np.uint64), np.uint64(0))
+        self.bits = max(10, int(len(keys)).bit_length() + 4)
+        self.tables, left = [], np.arange(len(keys))
+        for t in range(2):
+            table = np.full(1 << self.bits, len(keys), np.int32)
+            slot = self._slot(keys[left], t)
+            table[slot] = left
+            self.tables.append(table)
+            left = left[table[slot] != left]
+        self.rest = left[np.argsort(keys[left])]
+
+    def _slot(self, h: np.ndarray, t: int) -> np.ndarray:
+        return ((h >> np.uint64(64 - self.bits)) if t == 0 else (h & np.uint64((1 << self.bits) - 1))).astype(np.int64)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The place of each number, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        for t, table in enumerate(self.tables):
+            at = table[self._slot(h, t)]
+            hit = (self.keys[at] == h) & (at < len(self.keys) - 1)
+            out[hit] = at[hit]
+        if len(self.rest):
+            keys = self.keys[self.rest]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            out[hit] = self.rest[at[hit]]
+        return out
+
+
 _STEP = np.random.default_rng(20_240_502).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
