@@ -7,12 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neardup, quality, secrets, sharding, url_filter
+from . import decontaminate, line_templates, mixing, neardup, quality, secrets, sharding, token_counts, url_filter
 from .shared import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents; that batch once more; documents labelled toxic deleted;
+    those labelled of poor quality revised to their text without the symbols #*$%&|<>."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = table(spark, sf_dir, "labels")
+    rollup = token_counts.Rollup(spark)
+    load = docs.withColumn("op", F.lit("insert"))
+    rollup.commit("load", load)
+    rollup.commit("load", load)
+    rollup.commit("takedown", docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("delete")))
+    poor = docs.join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    rollup.commit("cleaned", poor.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")).withColumn("op", F.lit("revise")))
+    return rollup.totals()
+
+
+OP1_SQL = f"""
+WITH t AS (
+  SELECT d.doc_id, source, lang, CASE WHEN l.quality = 0 THEN regexp_replace(text, '[#*$%&|<>]+', '', 'g') ELSE text END AS text
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) = 0),
+c AS (SELECT source, lang, 'words-1' AS tokenizer, coalesce(len(regexp_extract_all(text, {WORD_SQL})), 0) AS n FROM t
+      UNION ALL SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '\\p{{L}}+|\\p{{N}}+|[^\\s\\x0B\\p{{L}}\\p{{N}}]+')), 0) FROM t)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM c GROUP BY ALL
+"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -113,7 +138,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text")
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
@@ -121,8 +151,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_neardup": op7_neardup,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
+    "op10_line_templates": op10_line_templates,
 }
 ORACLES: dict[str, str] = {
+    "op1_token_counts": OP1_SQL,
     "op2_mixing": OP2_SQL,
     "op3_url_filter": OP3_SQL,
     "op5_quality": OP5_SQL,
