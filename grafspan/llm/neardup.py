@@ -2,8 +2,10 @@
 
 1. Every text becomes its set of word shingles, a digest of that set (its class) and a MinHash
    signature. Texts with equal sets share a class, so copies are settled by one aggregation.
-2. Bands of the signature put classes into buckets. In each bucket all members are paired with
-   one leader, so a bucket of m members gives m - 1 candidates.
+2. Bands of the signature put classes into buckets. Shingles that only one of these classes has are
+   counted: they bound what a class can share, and a pair or class whose bound is below the
+   threshold is out, exactly. In each bucket all members are paired with the one that has the
+   fewest shingles of its own, so a bucket of m members gives m - 1 candidates.
 3. A candidate's signatures are compared a batch of hashes at a time. It is pruned as soon as the
    posterior probability of reaching the threshold (uniform prior: a Beta tail) falls below the
    chosen miss probability.
@@ -43,6 +45,8 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-9
 _RNG = np.random.default_rng(20_240_503)
 _FLIP = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
+#: The first 8 bytes of a class as a number, highest byte first, as _spread reads them.
+_OWNER = "cast(conv(hex(substring(cls, 1, 8)), 16, -10) as bigint)"
 _ODD = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -114,32 +118,63 @@ def _prune(threshold: float, miss: float):
     return run
 
 
+class _Sets:
+    """The shingle sets of the texts seen last, by class: rows of one group tend to stand together."""
+
+    def __init__(self, k: int, room: int = 8 << 20):
+        self.k, self.room, self.held, self.size = k, room, {}, 0
+
+    def __call__(self, cls: bytes, text: pa.Array) -> np.ndarray:
+        if (s := self.held.pop(cls, None)) is None:
+            s = next(words.sets(text, self.k))
+            self.size += s.nbytes
+            while self.size > self.room and self.held:
+                self.size -= self.held.pop(next(iter(self.held))).nbytes
+        self.held[cls] = s
+        return s
+
+
 def _exact(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(k)
         for b in batches:
-            good, last, mine = [], None, None
-            one, two = b.column("text_a"), words.sets(b.column("text_b"), k)
-            for i, other in enumerate(two):
-                if b.column("a")[i].as_py() != last:  # rows of one text tend to stand together
-                    last, mine = b.column("a")[i].as_py(), next(words.sets(one.slice(i, 1), k))
-                common = len(np.intersect1d(mine, other, assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(other) - common):
+            good, a, c = [], b.column("a").to_pylist(), b.column("b").to_pylist()
+            for i in range(b.num_rows):
+                one, two = sets(a[i], b.column("text_a").slice(i, 1)), sets(c[i], b.column("text_b").slice(i, 1))
+                both = np.concatenate((one, two))
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
                     good.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(x).take(pa.array(good, pa.int64())) for x in ("a", "b")], ["a", "b"])
 
     return run
 
 
-def verify(pairs: DataFrame, signs: DataFrame, texts_of, k: int, percent: int, stage: Stage, name: str) -> DataFrame:
+def _spread(k: int):
+    """Texts to (shingle, owner): owner is the first half of the class, a 64-bit number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owners = np.frombuffer(b"".join(x[:8] for x in b.column("cls").to_pylist()), ">i8").astype(np.int64)
+            part, mine = [], []
+            for i, s in enumerate(words.sets(b.column("text"), k)):
+                part.append(s.view(np.int64))
+                mine.append(np.full(len(s), owners[i]))
+                if sum(map(len, part[-1:])) and sum(map(len, part)) > 1 << 18 or i == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part)), pa.array(np.concatenate(mine))], ["shingle", "owner"])
+                    part, mine = [], []
+
+    return run
+
+
+def verify(pairs: DataFrame, signs: DataFrame, texts: DataFrame, k: int, percent: int, stage: Stage, name: str) -> DataFrame:
     """Pairs (a, b) of classes to those that reach the threshold, as a written table."""
     one = pairs.join(signs.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a")), "a").join(signs.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b")), "b")
     left = stage.write(one.mapInArrow(_prune(percent / 100, MISS), "a binary, b binary"), f"{name}-survivors")
-    ids = left.select(F.col("a").alias("cls")).union(left.select("b")).distinct()
-    texts = stage.write(texts_of(ids), f"{name}-texts")
     both = left.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b")
     links = stage.write(both.mapInArrow(_exact(k, percent), "a binary, b binary"), f"{name}-links")
     stage.drop(left)
-    stage.drop(texts)
     return links
 
 
@@ -149,34 +184,47 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None
     docs = docs.select("doc_id", "text")
     signed = stage.write(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, cls binary, sig binary"), "signed")
     known = signed.where("cls is not null")
-    classes = known.groupBy("cls").agg(F.min("doc_id").alias("low"))
+    classes = known.groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"))
     signs = stage.write(known.select("cls", "sig").dropDuplicates(["cls"]), "signs", codec="none")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        """One text of each class: any row of the class's smallest doc_id whose set is that class."""
-        want = ids.join(classes, "cls").select("cls", F.col("low").alias("_id"))
-        rows = docs.join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
-        return rows.mapInArrow(_same(k), "cls binary, text string").dropDuplicates(["cls"])
-
     bands = signs.mapInArrow(_bands, "bucket long, cls binary")
-    lead = bands.groupBy("bucket").agg(F.min("cls").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    shared = stage.write(bands.join(lead, "bucket"), "buckets")
-    pairs = shared.where("cls <> leader").select(F.col("cls").alias("a"), F.col("leader").alias("b")).distinct()
-    links = verify(pairs, signs, texts_of, k, percent, stage, "star")
+    often = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    shared = stage.write(bands.join(often, "bucket"), "buckets")
+    # One text of each class in a bucket with others: any row of its smallest doc_id whose set is that class.
+    want = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("low").alias("_id"))
+    rows = docs.join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
+    texts = stage.write(rows.mapInArrow(_same(k), "cls binary, text string").dropDuplicates(["cls"]), "texts")
+
+    # Shingles that no other class has can't be common ones. With s others at most, a pair needs
+    # min(s) >= percent * (n + n') / (100 + percent); a class with s < percent * n / 100 has no partner.
+    single = texts.mapInArrow(_spread(k), "shingle long, owner long").groupBy("shingle").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo = hi")
+    alone = stage.write(single.groupBy(F.col("lo").alias("owner")).agg(F.count("*").alias("alone")), "alone")
+    sizes = texts.select("cls").join(classes.select("cls", "n"), "cls").withColumn("owner", F.expr(_OWNER))
+    sizes = sizes.join(alone, "owner", "left").select("cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")).where(F.col("s") * 100 >= F.col("n") * percent)
+    members = stage.write(shared.join(stage.write(sizes, "sizes"), "cls"), "members")
+    stage.drop(shared)
+
+    # The leader has the fewest shingles of its own.
+    lead = members.groupBy("bucket").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "cls", "n", "s")).alias("l"), F.count("*").alias("m")).where("m > 1").select("bucket", "l")
+    able = lambda s1, n1, s2, n2: F.least(s1, s2) * (100 + percent) >= (n1 + n2) * percent
+    pairs = members.join(lead, "bucket").where((F.col("cls") != F.col("l.cls")) & able(F.col("s"), F.col("n"), F.col("l.s"), F.col("l.n"))).select(F.col("cls").alias("a"), F.col("l.cls").alias("b")).distinct()
+    tried = stage.write(pairs, "star-pairs")
+    links = verify(tried, signs, texts, k, percent, stage, "star")
     roots = components(links, stage)
 
     # Members of one bucket that are still apart.
-    marked = shared.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "leader", F.coalesce("root", "cls").alias("root"))
-    marked = stage.write(marked, "marked")
-    apart = marked.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2 and n > 2").select("bucket")
-    members = stage.write(marked.where("cls <> leader").join(apart, "bucket").select("bucket", "cls", "root"), "apart")
-    x, y = members.alias("x"), members.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = verify(rest, signs, texts_of, k, percent, stage, "rest")
+    marked = stage.write(members.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", "s", F.coalesce("root", "cls").alias("root")), "marked")
+    apart = marked.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
+    still = stage.write(marked.join(apart, "bucket"), "apart")
+    x, y = still.alias("x"), still.alias("y")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & able(F.col("x.s"), F.col("x.n"), F.col("y.s"), F.col("y.n")))
+    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    rest = rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    more = verify(rest, signs, texts, k, percent, stage, "rest")
     if not more.isEmpty():
         roots = components(links.unionByName(more), stage)
-    stage.drop(shared)
-    stage.drop(signs)
+    for t in (members, marked, still, signs, texts):
+        stage.drop(t)
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     named = stage.write(named, "named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
