@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_templates, mixing, neardup, quality, secrets, sharding, token_counts, url_filter
+from . import decontaminate, language_model, line_templates, mixing, neardup, quality, secrets, sharding, token_counts, url_filter
 from .shared import table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
@@ -126,6 +126,10 @@ FROM c LEFT JOIN m ON c.page_id = m.page_id
 """
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(table(spark, sf_dir, "documents"), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -148,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
+    "op6_language_model": op6_language_model,
     "op7_neardup": op7_neardup,
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
