@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, language_model, line_templates, mixing, neardup, quality, secrets, sharding, token_counts, url_filter
-from .shared import table
+from .shared import Stage, table
 
 WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 
@@ -16,15 +16,18 @@ WORD_SQL = r"'[^\x20\x09-\x0D]+'"
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents; that batch once more; documents labelled toxic deleted;
     those labelled of poor quality revised to their text without the symbols #*$%&|<>."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = table(spark, sf_dir, "labels")
     rollup = token_counts.Rollup(spark)
-    load = docs.withColumn("op", F.lit("insert"))
+    clean = F.when(F.col("text").rlike(r"[#*$%&|<>]"), rollup.counts(F.regexp_replace("text", r"[#*$%&|<>]+", "")))
+    # Texts are counted in one scan, and joins see counts only.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", rollup.counts(F.col("text")).alias("counts"), clean.alias("clean"))
+    docs = Stage(spark, "token-counts").write(docs, "counted")
+    labels = table(spark, sf_dir, "labels")
+    load = docs.drop("clean").withColumn("op", F.lit("insert"))
     rollup.commit("load", load)
     rollup.commit("load", load)
-    rollup.commit("takedown", docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").withColumn("op", F.lit("delete")))
-    poor = docs.join(labels.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    rollup.commit("cleaned", poor.withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", "")).withColumn("op", F.lit("revise")))
+    toxic, poor = labels.where("toxic = 1").select("doc_id"), labels.where("quality = 0 and toxic = 0").select("doc_id")
+    rollup.commit("takedown", docs.drop("clean").join(toxic, "doc_id", "left_semi").withColumn("op", F.lit("delete")))
+    rollup.commit("cleaned", docs.join(poor, "doc_id", "left_semi").withColumn("counts", F.coalesce("clean", "counts")).drop("clean").withColumn("op", F.lit("revise")))
     return rollup.totals()
 
 

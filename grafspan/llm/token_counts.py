@@ -83,12 +83,16 @@ class Rollup:
         return self.spark.read.parquet(*paths) if paths else None
 
     def counted(self, docs: DataFrame) -> DataFrame:
-        """One row for each document and tokenizer version."""
-        each = F.array(*[F.struct(F.lit(k).alias("tokenizer"), f(F.col("text")).alias("tokens")) for k, f in self.tokenizers.items()])
+        """One row for each document and tokenizer version; counts that docs bring along are taken as they are."""
+        each = F.col("counts") if "counts" in docs.columns else self.counts(F.col("text"))
         return docs.select("doc_id", "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.tokenizer", F.lit(1).cast("long").alias("docs"), "c.tokens")
 
+    def counts(self, text: Column) -> Column:
+        """array<struct<tokenizer, tokens>>: what a changes table may carry in ``counts`` in place of the text."""
+        return F.array(*[F.struct(F.lit(k).alias("tokenizer"), f(text).alias("tokens")) for k, f in self.tokenizers.items()])
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """changes: op (insert, delete, revise), doc_id, source, lang, text. False if the batch was there already."""
+        """changes: op (insert, delete, revise), doc_id, source, lang, and text or counts. False if the batch was there already."""
         done = self.committed()
         if batch in [b for _, b in done]:
             return False
