@@ -7,8 +7,8 @@ taken until the budget (the sum of all targets) is used up. A source whose targe
 size offers its documents again, up to ``most`` times.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of
-its own, last in order; repeated rows are documents of their own, and equal (doc_id, text) rows
-share their place in the order; a null doc_id is shuffled like any other; an empty table gives an
+its own, last in order; repeated rows (equal doc_id, source and text) are one unit of
+their joint size and are taken equally often; a null doc_id is shuffled like any other; an empty table gives an
 empty result. Names beginning with an underscore are used inside; other columns pass through.
 """
 
@@ -51,14 +51,15 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], most: int, share: floa
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", stage: Stage | None = None) -> DataFrame:
-    """doc_id, text and source to one row a document: doc_id, source, size, source_size, target, times, taken."""
+    """doc_id, text and source to one row a document: doc_id, source, size, source_size, target, times, taken, and _text, the text's MD5."""
     spark = docs.sparkSession
     stage = stage or Stage(spark, "mix")
     # A surrogate for the text keeps it out of every later shuffle.
     sized = stage.write(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_text")), "sizes")
-    queue = sized.withColumn("_draw", draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    units = sized.groupBy("doc_id", "source", "_text", "size").agg(F.count("*").alias("_rows")).withColumn("_unit", F.col("size") * F.col("_rows"))
+    queue = units.withColumn("_draw", draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    queue = running_sum(queue, ["source"], ["_draw", "doc_id", "_text"], "size", "_cum", spread="_draw")
+    queue = running_sum(queue, ["source"], ["_draw", "doc_id", "_text"], "_unit", "_cum", spread="_draw")
     q, g = queue.alias("q"), goals.alias("g")
     queue = q.join(g, F.col("q.source").eqNullSafe(F.col("g.source"))).select("q.*", "g.source_size", "g.target")
     queue = stage.write(queue, "queue")
@@ -70,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     tick = F.floor(F.least(F.col("_finish"), F.lit(4.0 * most)) * TICKS).cast("long")
     offers = offers.withColumn("_tick", tick)
     budget = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("_budget"))
-    ticks = offers.groupBy("_tick").agg(F.sum("size").alias("_sum"))
+    ticks = offers.groupBy("_tick").agg(F.sum("_unit").alias("_sum"))
     upto = ticks.withColumn("_upto", F.sum("_sum").over(Window.orderBy("_tick")))
     # The range in which the budget runs out, and what the ranges before it use: one row.
     edge = upto.crossJoin(F.broadcast(budget)).agg(
@@ -79,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         F.first("_budget").alias("_budget"),
     )
     place = ["_finish", "_draw", "doc_id", "_text", "_round"]
-    inside = offers.join(F.broadcast(edge), F.col("_tick") == F.col("_edge")).withColumn("_upto", F.coalesce("_used", F.lit(0)) + F.sum("size").over(Window.partitionBy("_tick").orderBy(*place)))
+    inside = offers.join(F.broadcast(edge), F.col("_tick") == F.col("_edge")).withColumn("_upto", F.coalesce("_used", F.lit(0)) + F.sum("_unit").over(Window.partitionBy("_tick").orderBy(*place)))
     last = inside.agg(F.max(F.when(F.col("_upto") <= F.col("_budget"), F.struct(*place))).alias("_last"))
     stop = edge.crossJoin(last)
     out = queue.crossJoin(F.broadcast(stop))
@@ -90,4 +91,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         key = F.struct(at.alias("_finish"), "_draw", "doc_id", "_text", F.lit(k).alias("_round"))
         times = times + F.when(F.col("_edge").isNull() | (on < F.col("_edge")) | ((on == F.col("_edge")) & (key <= F.col("_last"))), 1).otherwise(0)
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)
+    out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
     return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), times.alias("times"), (times * F.col("size")).cast("long").alias("taken"), "_text")

@@ -32,12 +32,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import words
 from .components import components
-from .shared import Stage
+from .shared import WORD, Stage
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -74,7 +75,7 @@ def _sign(k: int):
                     n.append(len(s))
                     cls.append(digest(s) if len(s) else None)
                     sig.append(signature(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "row", "n_shingles", "cls", "sig"])
 
     return run
 
@@ -179,10 +180,10 @@ def verify(pairs: DataFrame, signs: DataFrame, texts: DataFrame, k: int, percent
 
 
 def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None = None) -> DataFrame:
-    """doc_id and text to doc_id, n_shingles, component_id, kept, and cls, the digest of the set."""
+    """doc_id and text to doc_id, n_shingles, component_id, kept, row (see row_key) and root, the component's own key."""
     stage = stage or Stage(docs.sparkSession, "neardup")
     docs = docs.select("doc_id", "text")
-    signed = stage.write(docs.mapInArrow(_sign(k), "doc_id long, n_shingles long, cls binary, sig binary"), "signed")
+    signed = stage.write(docs.withColumn("row", row_key()).mapInArrow(_sign(k), "doc_id long, row string, n_shingles long, cls binary, sig binary"), "signed")
     known = signed.where("cls is not null")
     classes = known.groupBy("cls").agg(F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"))
     signs = stage.write(known.select("cls", "sig").dropDuplicates(["cls"]), "signs", codec="none")
@@ -228,10 +229,25 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     named = stage.write(named, "named")
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_class = named.join(least, "root").select("cls", "component_id")
-    out = signed.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
+    of_class = named.join(least, "root").select("cls", "root", "component_id")
+    out = signed.select("doc_id", "row", "n_shingles", "cls").join(of_class, "cls", "left")
     own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), "cls")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), "row", "root")
+
+
+def row_key() -> Column:
+    """Stands for a row's doc_id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that of the smallest doc_id, and all rows without words."""
+    stage = Stage(docs.sparkSession, "neardup")
+    found = cluster(docs, k, percent, stage)
+    first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("f")).select(F.col("f.row").alias("_row"))
+    keep = stage.write(first.distinct(), "keep")
+    rows = docs.withColumn("_row", row_key()).join(keep, "_row").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1").select(*docs.columns)
+    return rows.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(WORD)))
 
 
 def _same(k: int):

@@ -149,6 +149,12 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.drop_templates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -160,6 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_sharding": op9_sharding,
     "op10_line_templates": op10_line_templates,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {
     "op1_token_counts": OP1_SQL,
