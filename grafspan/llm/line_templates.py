@@ -30,24 +30,26 @@ VARIABLE = "<*>"
 
 def masked(line: Column) -> Column:
     """The tokens of a line with one space between them; those with a digit are variable."""
-    tokens = F.array_join(words_of(line), " ")
-    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ ]*?[0-9][^ ]*", VARIABLE)).otherwise(tokens)
+    odd = line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
+    tokens = F.when(odd, F.array_join(words_of(line), " ")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ ]*?[0-9][^ ]*", VARIABLE)).otherwise(tokens)
 
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(_text, _no, _line, _leaf) of the lines that may be dropped; _text stands for the whole text."""
+    """(_text, _no, _line, _leaf) of all lines; _leaf is null where a line has too few tokens. _text stands for the whole text."""
     lines = docs.select(F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
-    lines = lines.select("_text", "_no", masked(F.col("_raw")).alias("_line"))
-    count = F.size(F.split("_line", " "))
+    # A generator of one row: what is above it reads the masked line and doesn't make it again.
+    lines = lines.select("_text", "_no", F.explode(F.array(masked(F.col("_raw")))).alias("_line"))
+    count = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
     # The leading tokens are what stands before the DEPTH-th space.
-    leaf = F.xxhash64(count, F.substring_index("_line", " ", DEPTH))
-    return lines.where(count >= least_tokens).withColumn("_leaf", leaf)
+    leaf = F.when(count >= least_tokens, F.xxhash64(count, F.substring_index("_line", " ", DEPTH)))
+    return lines.select("_text", "_no", "_line", F.explode(F.array(leaf)).alias("_leaf"))
 
 
 def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, constant: float = 0.5, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
     """(_text, _no, template_id) of the lines to drop, and (template_id, template, docs) of the boilerplate."""
     stage = stage or Stage(docs.sparkSession, "lines")
-    leaves = _lines(docs, least_tokens).groupBy("_leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs)
+    leaves = _lines(docs, least_tokens).groupBy("_leaf").agg(F.count("*").alias("n")).where((F.col("n") >= least_docs) & F.col("_leaf").isNotNull())
     leaves = stage.write(leaves.select("_leaf"), "leaves")
     blocks = blocks_for(leaves.count(), max_blocks=1 << 16)
     seen = bloom(leaves.select(F.col("_leaf").alias("key")), blocks)
