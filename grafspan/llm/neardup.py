@@ -216,10 +216,13 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None
     # Members of one bucket that are still apart.
     marked = stage.write(members.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", "s", F.coalesce("root", "cls").alias("root")), "marked")
     apart = marked.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    still = stage.write(marked.join(apart, "bucket"), "apart")
+    # A class has BANDS buckets at most; a pair is made in the first that it shares.
+    still = marked.join(apart, "bucket").withColumn("own", F.collect_list("bucket").over(Window.partitionBy("cls")))
+    still = stage.write(still, "apart")
     x, y = still.alias("x"), still.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & able(F.col("x.s"), F.col("x.n"), F.col("y.s"), F.col("y.n")))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+    first = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket")
+    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & able(F.col("x.s"), F.col("x.n"), F.col("y.s"), F.col("y.n")) & first)
+    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
     rest = rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
     more = verify(rest, signs, texts, k, percent, stage, "rest")
     if not more.isEmpty():
