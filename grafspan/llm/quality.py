@@ -84,14 +84,18 @@ def repeated_words(words: Column, n: Column, width: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures that rules may name."""
+    """Adds the measures that rules may name.
+
+    Words and measures each come out of a generator of one row: a filter on what is derived from them
+    then reads them, where it would else be pushed down and make each of them again.
+    """
     whole = F.coalesce(F.col(text), F.lit(""))
-    one = docs.withColumn("_words", words_of(whole))
+    one = docs.select("*", F.explode(F.array(words_of(whole))).alias("_words"))
     words, n = F.col("_words"), F.size("_words")
     lines = F.filter(F.split(whole, "\n", -1), lambda x: x.rlike(WORD))
     lines = F.transform(F.array(lines), lambda a: F.struct(F.size(a).alias("all"), F.size(F.array_distinct(a)).alias("own")))[0]
     count = lambda cond: F.size(F.filter(words, cond))
-    one = one.withColumns({
+    made = {
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.regexp_replace(whole, r"[#*$%&|<>]+", ""))).cast("long"),
@@ -101,7 +105,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "_bars": count(lambda w: w == "|"),
         "_echo": n - F.size(F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (F.get(words, F.greatest(i - 1, F.lit(0))) != w), 1)), lambda x: x.isNotNull())),
         "_stop": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
-    })
+    }
+    one = one.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("_made")).select(*docs.columns, "_made.*")
     per_word = F.greatest(F.col("n_words"), F.lit(1))
     return one.withColumns({
         "n_dup_lines": (F.col("_lines.all") - F.col("_lines.own")).cast("long"),
@@ -130,4 +135,4 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of docs with the measures, failed (names of failed rules), base_failed and kept."""
     out = measured(docs).withColumn("failed", compiled(rules))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_words", "_lines", "_shout", "_bars", "_echo", "_stop")
+    return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_lines", "_shout", "_bars", "_echo", "_stop")
