@@ -10,9 +10,9 @@
    posterior probability of reaching the threshold (uniform prior: a Beta tail) falls below the
    chosen miss probability.
 4. Survivors are verified on their full sets, exactly.
-5. Components of the verified links; then members of one bucket that are still in different
-   components are paired with each other and verified too, so that no chain is lost for want of
-   a leader.
+5. Components of the verified links; then classes of a bucket that are still in different
+   components are paired by an exact prefix filter on their rarest shingles and verified too, so
+   that no chain is lost for want of a leader.
 
 A link of similarity s is missed if no band agrees, (1 - s**ROWS)**BANDS (3e-6 at 0.8), or if it is
 pruned (MISS at most, in each batch).
@@ -179,6 +179,29 @@ def verify(pairs: DataFrame, signs: DataFrame, texts: DataFrame, k: int, percent
     return links
 
 
+def common_prefixes(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots among classes (cls, n, root) that may reach the threshold, exactly.
+
+    With the shingles of every class in one order, rarest first, two similar sets have one in common among the
+    first n - ceil(percent * n / 100) + 1 of each; and from the first common one on, enough must be left of both.
+    What makes a text different is rare and stands first, so that variants that are too far from each other
+    meet nowhere early enough.
+    """
+    spread = texts.join(apart.select("cls"), "cls", "left_semi").mapInArrow(_spread(k), "shingle long, owner long")
+    df = spread.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = spread.join(df, "shingle").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    # Shingles that no other class has come before all of these.
+    named = shared.join(apart.withColumn("owner", F.expr(_OWNER)), "owner")
+    alone = F.col("n") - F.size("s")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
+    rows = named.where(prefix > 0).select("cls", "n", "root", alone.alias("alone"), F.posexplode(F.transform(F.slice("s", F.lit(1), prefix.cast("int")), lambda x: x["shingle"])).alias("at", "shingle"))
+    rows = rows.withColumn("left", F.col("n") - F.col("alone") - F.col("at"))
+    x, y = rows.alias("x"), rows.alias("y")
+    enough = F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & enough)
+    return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+
+
 def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None = None) -> DataFrame:
     """doc_id and text to doc_id, n_shingles, component_id, kept, row (see row_key) and root, the component's own key."""
     stage = stage or Stage(docs.sparkSession, "neardup")
@@ -216,18 +239,12 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None
     # Members of one bucket that are still apart.
     marked = stage.write(members.join(roots, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", "s", F.coalesce("root", "cls").alias("root")), "marked")
     apart = marked.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("bucket")
-    # A class has BANDS buckets at most; a pair is made in the first that it shares.
-    still = marked.join(apart, "bucket").withColumn("own", F.collect_list("bucket").over(Window.partitionBy("cls")))
-    still = stage.write(still, "apart")
-    x, y = still.alias("x"), still.alias("y")
-    first = F.array_min(F.array_intersect("x.own", "y.own")) == F.col("x.bucket")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & able(F.col("x.s"), F.col("x.n"), F.col("y.s"), F.col("y.n")) & first)
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
-    rest = rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")
+    apart = stage.write(marked.join(apart, "bucket").select("cls", "n", "root").distinct(), "apart")
+    rest = stage.write(common_prefixes(apart, texts, k, percent).join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"), "rest-pairs")
     more = verify(rest, signs, texts, k, percent, stage, "rest")
     if not more.isEmpty():
         roots = components(links.unionByName(more), stage)
-    for t in (members, marked, still, signs, texts):
+    for t in (members, marked, signs, texts):
         stage.drop(t)
     named = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "low", F.coalesce("root", "cls").alias("root"))
     named = stage.write(named, "named")
