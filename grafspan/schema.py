@@ -47,10 +47,17 @@ def columns(ddl: str) -> list[tuple[str, str]]:
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
-    """The table's columns in order and type; missing ones are filled: '' for strings, [] for arrays, false, 0, null."""
+    """The table's columns in order and type; what is missing or null is filled: '' for strings, [] for arrays, false, 0. generated_by may be null."""
     default = {"string": F.lit(""), "boolean": F.lit(False), "long": F.lit(0), "array<string>": F.array().cast("array<string>")}
     have = set(df.columns)
-    return df.select(*[(F.col(c) if c in have else default.get(t, F.lit(None))).cast(t).alias(c) for c, t in columns(ddl)])
+    keep_null = {"generated_by"}
+
+    def one(c: str, t: str):  # noqa: ANN202
+        if c not in have:
+            return F.lit(None) if c in keep_null else default.get(t, F.lit(None))
+        return F.col(c) if c in keep_null or t not in default else F.coalesce(F.col(c).cast(t), default[t])
+
+    return df.select(*[one(c, t).cast(t).alias(c) for c, t in columns(ddl)])
 
 
 def check_edge(edge: str) -> None:

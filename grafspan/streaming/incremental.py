@@ -35,14 +35,14 @@ def dependents(g: CodeGraph, changed: DataFrame) -> DataFrame:
 
 
 def rewritten(g: CodeGraph, fresh: CodeGraph, changed: DataFrame, dependent: DataFrame) -> CodeGraph:
-    """The graph with a scope replaced: edges of changed and dependent files, nodes of changed ones.
+    """The graph with a scope replaced: edges of changed and dependent files, nodes of changed ones and of no file.
 
     What lies outside the scope is kept as it is; rows of the scope come from ``fresh``.
     """
     scope = changed.select("filename").unionByName(dependent.select("filename")).distinct()
     files = scope.withColumnRenamed("filename", "source_file")
-    edges = {k: e.join(files, "source_file", "left_anti").unionByName(fresh.edge(k).join(files, "source_file", "left_semi")) for k, e in g.edges.items()}
-    keep = g.symbol.join(changed.select("filename").distinct(), "filename", "left_anti")
+    edges = {k: e.join(files, "source_file", "left_anti").unionByName(fresh.edges[k].join(files, "source_file", "left_semi")) for k, e in g.edges.items()}
+    keep = g.symbol.where("filename <> ''").join(changed.select("filename").distinct(), "filename", "left_anti")
     new = fresh.symbol.join(keep.select("id"), "id", "left_anti")
     return CodeGraph(g.spark, keep.unionByName(new), edges, fresh.route, fresh.client, fresh.producer, fresh.unresolved)
 
