@@ -1 +1,13 @@
 """Code-graph analytics on Spark: graph, retrieval and incremental operators as DataFrame plans."""
+
+from __future__ import annotations
+
+import os
+from pathlib import Path
+
+
+def importable(spark) -> None:  # noqa: ANN001
+    """Lets Python workers on this machine import the package from where the driver has it. A cluster gets it by --py-files."""
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent)
+    if here not in (old := env.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, old]))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import importable
+
 #: Folders that never count, those that don't beside a build file, and build files.
 PRUNED = ".git .svn .hg .idea .vscode .gradle .mvn node_modules __pycache__ .venv venv".split()
 BUILD_OUTPUT = "target build out".split()
@@ -94,6 +96,7 @@ def without_build_output(files: DataFrame, path: str = "path") -> DataFrame:
 
 def scan(spark: SparkSession, root: str, glob: str = "*.{java,kt}", rules: list[IgnoreRule] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """(filename relative to the root, content) of the files that count."""
+    importable(spark)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     base = root.split(":", 1)[-1].rstrip("/") + "/"
     rel = F.element_at(F.split(F.regexp_replace("path", "^[a-z]+:/*", "/"), re.escape(base), 2), -1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import importable
 from ..functions import keys as K
 from ..graph import CodeGraph
 
@@ -17,6 +18,7 @@ ROLES = {"BUILDING": "CONTROLLER", "AUTOMOBILE": "SERVICE", "MACHINERY": "COMPON
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
