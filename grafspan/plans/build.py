@@ -317,7 +317,7 @@ def increment(spark: SparkSession, root: str, store: Store, cap: int = increment
         return full(spark, root, store), "full"
     sources = files.scan(spark, root)
     now = sources.select(F.col("filename").alias("path"), F.sha2("content", 256).alias("sha256"))
-    changed = incremental.difference(store.files(), now).cache()
+    changed = Work(spark).keep(incremental.difference(store.files(), now))
     n = changed.count()
     if n == 0:
         return None, "none"
