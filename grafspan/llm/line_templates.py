@@ -13,7 +13,8 @@ the lines that go on with their tokens; a join with the leaves themselves remove
 Defined cases: a null text stays null and has no lines; lines of fewer than ``least_tokens`` tokens
 are kept; equal texts count as one document and lose the same lines; very long lines are lines
 like others; an empty table gives an empty result. A text that loses nothing is unchanged.
-Names beginning with an underscore are used inside; other columns pass through.
+Names beginning with an underscore are used inside; other columns pass through,
+but for those that bear the name of a result.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stage, words_of
+from .shared import Stage, clear, words_of
 from .url_filter import WORDS, block_and_mask, blocks_for, bloom
 
 DEPTH = 3
@@ -80,6 +81,7 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
 
 def drop_templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, constant: float = 0.5, stage: Stage | None = None) -> DataFrame:
     """docs without the lines of recurring templates; adds n_lines, n_dropped and dropped (their places, from 0)."""
+    docs = clear(docs, "n_lines", "n_dropped", "dropped")
     lines, _ = templates(docs.select("text"), least_docs, least_tokens, constant, stage)
     gone = lines.groupBy("_text").agg(F.array_sort(F.collect_set("_no")).alias("dropped"))
     cols = docs.columns

@@ -3,7 +3,8 @@
 Every document of a source joins that source's queue in shuffled order. A document's virtual
 finish time is the number of words its source has offered up to and with it, divided by the
 source's target. The queues are merged by that clock: documents are range-sorted on it and
-taken until the budget (the sum of all targets) is used up. A source whose target exceeds its
+taken until the budget (the sum of all targets) is used up; a source that has reached its target
+offers no more. A source whose target exceeds its
 size offers its documents again, up to ``most`` times.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of
@@ -64,12 +65,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     queue = q.join(g, F.col("q.source").eqNullSafe(F.col("g.source"))).select("q.*", "g.source_size", "g.target")
     queue = stage.write(queue, "queue")
 
-    # One offer for each time round; an offer far behind the clock's end can't be reached.
+    # One offer for each time round.
     rounds = F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
     finish = (F.col("_round") * F.col("source_size") + F.col("_cum")) / F.col("target")
     offers = queue.where((F.col("size") > 0) & (F.col("target") > 0)).select("*", rounds.alias("_round")).withColumn("_finish", finish)
     tick = F.floor(F.least(F.col("_finish"), F.lit(4.0 * most)) * TICKS).cast("long")
-    offers = offers.withColumn("_tick", tick)
+    # A source that has its target offers nothing more, so none ends further from it than its last document.
+    offers = offers.where(F.col("_round") * F.col("source_size") + F.col("_cum") - F.col("_unit") < F.col("target")).withColumn("_tick", tick)
     budget = goals.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("_budget"))
     ticks = offers.groupBy("_tick").agg(F.sum("_unit").alias("_sum"))
     upto = ticks.withColumn("_upto", F.sum("_sum").over(Window.orderBy("_tick")))
@@ -89,7 +91,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         at = (F.lit(k) * F.col("source_size") + F.col("_cum")) / F.col("target")
         on = F.floor(F.least(at, F.lit(4.0 * most)) * TICKS).cast("long")
         key = F.struct(at.alias("_finish"), "_draw", "doc_id", "_text", F.lit(k).alias("_round"))
-        times = times + F.when(F.col("_edge").isNull() | (on < F.col("_edge")) | ((on == F.col("_edge")) & (key <= F.col("_last"))), 1).otherwise(0)
+        open_ = F.lit(k) * F.col("source_size") + F.col("_cum") - F.col("_unit") < F.col("target")
+        times = times + F.when(~open_, 0).when(F.col("_edge").isNull() | (on < F.col("_edge")) | ((on == F.col("_edge")) & (key <= F.col("_last"))), 1).otherwise(0)
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), times).otherwise(0)
     out = out.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
     return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), times.alias("times"), (times * F.col("size")).cast("long").alias("taken"), "_text")

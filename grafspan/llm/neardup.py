@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from . import words
 from .components import components
-from .shared import WORD, Stage
+from .shared import WORD, Stage, clear
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -262,7 +262,7 @@ def row_key() -> Column:
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id, and all rows without words."""
-    stage = Stage(docs.sparkSession, "neardup")
+    stage, docs = Stage(docs.sparkSession, "neardup"), clear(docs)
     found = cluster(docs, k, percent, stage)
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("f")).select(F.col("f.row").alias("_row"))
     keep = stage.write(first.distinct(), "keep")

@@ -6,7 +6,8 @@ bound; a document fails a rule when the comparison holds.
 
 Defined cases: a null or empty text has no words and fails; repeated rows are judged each for
 itself; very long texts are measured whole, in n log n time; an empty table gives an empty
-result. Names beginning with an underscore are used inside; other columns pass through.
+result. Names beginning with an underscore are used inside; other columns pass through,
+but for those that bear the name of a result.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, words_of
+from .shared import WORD, clear, words_of
 
 WINDOW = 8
 
@@ -83,12 +84,16 @@ def repeated_words(words: Column, n: Column, width: int = WINDOW) -> Column:
     return F.when(n >= width, F.element_at(both, 1)).otherwise(F.lit(0)).cast("long")
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_ratio", "symbol_ratio", "shout_ratio", "dup_line_ratio", "echo_ratio", "bar_ratio", "mean_word", "stop_ratio")
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds the measures that rules may name.
 
     Words and measures each come out of a generator of one row: a filter on what is derived from them
     then reads them, where it would else be pushed down and make each of them again.
     """
+    docs = clear(docs, *MEASURES)
     whole = F.coalesce(F.col(text), F.lit(""))
     one = docs.select("*", F.explode(F.array(words_of(whole))).alias("_words"))
     words, n = F.col("_words"), F.size("_words")
@@ -133,6 +138,6 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of docs with the measures, failed (names of failed rules), base_failed and kept."""
-    out = measured(docs).withColumn("failed", compiled(rules))
+    out = measured(clear(docs, "failed", "base_failed", "kept")).withColumn("failed", compiled(rules))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return out.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_lines", "_shout", "_bars", "_echo", "_stop")

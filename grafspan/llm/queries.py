@@ -58,7 +58,7 @@ f AS (SELECT arg_min(level, cap / w) AS free FROM l WHERE cap >= w * level),
 g AS (SELECT source, source_size, CASE WHEN free IS NULL OR cap < w * free THEN cap ELSE w * free END AS target FROM l, f),
 q AS (SELECT d.*, g.source_size, g.target, sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id NULLS FIRST, h) AS cum
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-o AS (SELECT q.*, k, (k * source_size + cum) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0 AND target > 0),
+o AS (SELECT q.*, k, (k * source_size + cum) / target AS finish FROM q, (SELECT unnest([0, 1, 2]) AS k) WHERE size > 0 AND target > 0 AND k * source_size + cum - size < target),
 c AS (SELECT *, sum(size) OVER (ORDER BY finish, draw, doc_id NULLS FIRST, h, k) AS upto FROM o),
 t AS (SELECT doc_id, h, count(*) FILTER (upto <= (SELECT sum(target) FROM g)) AS times FROM c GROUP BY doc_id, h)
 SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, (q.size * coalesce(t.times, 0))::BIGINT AS taken

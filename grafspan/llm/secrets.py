@@ -13,7 +13,7 @@ at them, so the pieces' lengths add up to places.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are scanned each for
 itself; very long texts are scanned whole; an empty table gives an empty result. Names beginning
-with an underscore are used inside; other columns pass through.
+with an underscore are used inside; other columns pass through, but for base and spans.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import clear
+
 #: The patterns, by kind, in the order in which spans of one start are listed.
 PATTERNS = {
     "assign": r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -127,6 +129,7 @@ def scan(docs: DataFrame, weights: list[int] | None = None, text: str = "text")
     whole = F.coalesce(F.col(text), F.lit(""))
     named = lambda spans, no, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(no).alias("kind_no"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     assign = F.filter(located(whole, PATTERNS["assign"], 2), lambda s: F.length(s["value"]) >= LEAST_VALUE)
+    docs = clear(docs, "base", "spans")
     out = docs.withColumn("_base", F.concat(named(assign, 0, "assign"), named(located(whole, PATTERNS["access"]), 1, "access"), named(located(whole, PATTERNS["hex"]), 2, "hex")))
     base = F.sort_array("_base")
     free = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))

@@ -55,6 +55,11 @@ class Stage:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear(df: DataFrame, *made: str) -> DataFrame:
+    """df without columns that an operator makes itself, and without names that begin with an underscore."""
+    return df.drop(*[c for c in df.columns if c.startswith("_") or c in made])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for a null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -11,7 +11,8 @@ keys through), so it may be broadcast. The list is never broadcast by us.
 Defined cases: a null URL or one without ``://`` has empty host and path and no rule, and is
 allowed; repeated rows are judged each for itself; an empty list allows everything; an empty
 table gives an empty result. Of several rules that fit, the longest wins, then the longest host.
-Names beginning with an underscore are used inside; other columns pass through.
+Names beginning with an underscore are used inside; other columns pass through,
+but for those that bear the name of a result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER
+from .shared import LOWER, UPPER, clear
 
 WORDS = 4  # 64-bit words of a block
 PROBES = 6  # bits of a key in its block
@@ -71,7 +72,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     rules: (host, path, verdict), a short table. listed: column ``canonical`` of blocked canonical URLs.
     The filter holds the keys of both.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, clear(pages, "host", "path", "rule", "listed", "verdict")
     fixed = F.inline(F.array(*[F.struct(F.lit(f"{h}\n{p}").alias("key"), F.lit(v).alias("_verdict"), F.lit(h + p).alias("_rule"), F.lit(len(h + p) * 1000 + len(h)).alias("_len")) for h, p, v in rules])) if rules else None
     ruled = spark.range(1).select(fixed) if rules else None
     entries = listed.select(F.col("canonical").alias("key")).where("key is not null").distinct()
