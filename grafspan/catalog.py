@@ -334,7 +334,7 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical scores of symbols whose names share tokens with a query; tested against hand-computed values."""
     g = star.graph(spark, sf_dir)
     g = replace(g, symbol=g.symbol.withColumn("name", F.replace(F.initcap("name"), F.lit(" "), F.lit(""))))
-    return retrieval.run_lexical(g, "red widget", NodeFilter(symbol_kind="record"), limit=100).select("id", "fqn", F.round("score", 6).alias("score"), "collapsed")
+    return retrieval.run_lexical(g, "red widget", NodeFilter(symbol_kind="record"), limit=100, dedup=False).select("id", "fqn", F.round("score", 6).alias("score"))
 
 
 # --- scalars ---
