@@ -75,7 +75,8 @@ def watch(events: DataFrame, reindex, checkpoint: str, gap: str = "2 seconds", l
     events: a stream of (path, ts). A rebuild of the graph is asked for only if a parsed language changed.
     """
     named = events.withColumn("kind", F.explode(kinds_of(F.col("path")))).withWatermark("ts", late)
-    done = named.groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_set("kind").alias("kinds"))
+    # Streams need a key beside a session window; this one is the same for all paths.
+    done = named.groupBy((F.length("path") < 0).alias("_all"), F.session_window("ts", gap).alias("w")).agg(F.collect_set("kind").alias("kinds"))
 
     def each(batch: DataFrame, number: int) -> None:
         kinds = {k for r in batch.select("kinds").collect() for k in r["kinds"]}

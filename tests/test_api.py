@@ -15,7 +15,9 @@ def index(spark, tmp_path_factory):
     assert api.init(spark, str(at / "src"), str(at / "index")) == 1
     with pytest.raises(FileExistsError):
         api.init(spark, str(at / "src"), str(at / "index"))
-    return api.Index.open(spark, str(at / "index"))
+    found = api.Index.open(spark, str(at / "index"))
+    object.__setattr__(found, "path", str(at / "index"))
+    return found
 
 
 def test_calls(index):
@@ -32,3 +34,42 @@ def test_calls(index):
     assert index.overview("svc").rows and index.status().rows[0]["types"] >= 4
     review = index.review("--- a/svc/p/A.java\n+++ b/svc/p/A.java\n@@ -13,1 +13,1 @@\n-x\n+y\n").rows[0]
     assert review["changed"] and review["band"] in ("low", "medium", "high")
+
+
+def test_command_line(spark, index, capsys):
+    import json
+
+    from grafspan.__main__ import main
+
+    assert main(["implementations", "Face", "--index", index.path], spark) == 0
+    assert [r["fqn"] for r in json.loads(capsys.readouterr().out)["rows"]] == ["p.A"]
+    assert main(["topics", "--index", index.path], spark) == 1
+    assert json.loads(capsys.readouterr().out)["status"] == "empty"
+    assert main(["meta", "--index", index.path], spark) == 0
+    with pytest.raises(ValueError):
+        main(["erase", "--index", index.path], spark)
+
+
+def test_watch(spark, tmp_path):
+    """A stream of changed files asks for one rebuild after a quiet gap."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from grafspan.streaming import incremental
+
+    at = tmp_path / "events"
+    at.mkdir()
+    (at / "1.json").write_text('{"path": "a/A.java", "ts": "2024-01-01T00:00:00Z"}\n{"path": "README.md", "ts": "2024-01-01T00:00:00Z"}\n{"path": "z/B.java", "ts": "2024-01-01T00:10:00Z"}\n')
+    events = spark.readStream.schema("path string, ts timestamp").json(str(at)).select("path", F.col("ts"))
+    asked = []
+    q = incremental.watch(events, lambda _, kinds: asked.append(kinds), str(tmp_path / "state"))
+    try:
+        for _ in range(60):
+            q.processAllAvailable()
+            if asked:
+                break
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    assert asked == [{"vectors", "graph"}]
