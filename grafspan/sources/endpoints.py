@@ -97,10 +97,10 @@ def routes(types: dict[str, dict], members: list[dict]) -> list[dict]:
                     for path in _paths(attrs) or [None]:
                         p, s, c, r = merged(base, path)
                         found += [_route(m, "http_endpoint", "webflux" if reactive else "spring_mvc", http_method=v, path=p, strategy=s, confidence=c, resolved=r) for v in verbs]
-            elif name in V.LISTENER_BROKERS:
-                broker = V.LISTENER_BROKERS[name]
+            elif name in V.LISTENERS:
+                kind, framework, broker = V.LISTENERS[name]
                 topics = atoms(attrs.get("topics") or attrs.get("queues") or attrs.get("destination") or attrs.get("topicPattern") or attrs.get("value") or "")
-                found += [_route(m, "kafka_topic" if broker == "kafka" else f"{broker}_{'queue' if broker in ('rabbit', 'jms') else 'binding'}", f"{broker}", topic=t, broker=broker, strategy=s, confidence=c, resolved=r) for t, s, c, r in topics]
+                found += [_route(m, kind, framework, topic=t, broker=broker, strategy=s, confidence=c, resolved=r) for t, s, c, r in topics]
             elif name in ROUTE_ANNOTATIONS:
                 text = ",".join(f"{k}={v}" for k, v in attrs.items())
                 inner = [named(x) for x in re.findall(r"@Codebase(?:Http|Async)Route\s*\(((?:[^()]|\([^()]*\))*)\)", text)] or [attrs]

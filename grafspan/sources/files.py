@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from .. import importable
 
 #: Folders that never count, those that don't beside a build file, and build files.
-PRUNED = ".git .svn .hg .idea .vscode .gradle .mvn node_modules __pycache__ .venv venv".split()
+PRUNED = ".git .idea .venv node_modules".split()
 BUILD_OUTPUT = "target build out".split()
 BUILD_FILES = "pom.xml build.gradle build.gradle.kts settings.gradle settings.gradle.kts".split()
 
@@ -216,12 +216,29 @@ def diff_hunks(spark: SparkSession, text: str) -> DataFrame:
 
 # --- generated code ---
 
-BANNERS = {"openapi": r"(?i)auto generated by OpenAPI Generator|swagger code generator", "protobuf": r"(?i)generated by the protocol buffer compiler", "mapstruct": r"(?i)org\.mapstruct\.ap", "jooq": r"(?i)generated by jOOQ", "generic": r"(?i)do not edit|code generated by|automatically generated"}
+#: Banners in a file's head and values of @Generated, by generator.
+BANNERS = {
+    "openapi": r"(?i)This file was generated by the OpenAPI Generator",
+    "protobuf": r"(?i)Generated by the protocol buffer compiler",
+    "jsonschema2pojo": r"(?i)This file was generated by jsonschema2pojo",
+    "wsimport": r"(?i)generated by wsimport",
+    "mapstruct": r"(?i)WARNING: DO NOT EDIT.*generated by MapStruct",
+}
+GENERATED_VALUES = {
+    "openapi": r"org\.openapitools\.codegen\.",
+    "mapstruct": r"org\.mapstruct\.ap\.MappingProcessor",
+    "autovalue": r"com\.google\.auto\.value\.processor\.AutoValueProcessor",
+    "jooq": r"org\.jooq\.",
+    "querydsl": r"com\.querydsl\.",
+    "immutables": r"org\.immutables\.",
+}
 
 
 def generated_by(text: Column, annotations: Column, exclude: Column | None = None, extra: dict[str, str] | None = None) -> Column:
-    """Family of the generator: by annotation, then by a banner in the first 4096 characters; null for written code."""
+    """Family of the generator: by what stands in @Generated, by that annotation alone, then by a banner in the first 4096 characters; null for written code."""
     head = F.substring(text, 1, 4096)
     banner = F.coalesce(*[F.when(head.rlike(p), k) for k, p in {**BANNERS, **(extra or {})}.items()])
-    found = F.when(F.array_contains(annotations, "Generated"), "annotation").otherwise(banner)
+    value = F.regexp_extract(text, r"@(?:[\w.]+\.)?Generated\s*\(([^)]*)\)", 1)
+    family = F.coalesce(*[F.when(value.rlike(p), k) for k, p in GENERATED_VALUES.items()])
+    found = F.coalesce(family, F.when(F.array_contains(annotations, "Generated"), "annotation"), banner)
     return F.when(exclude, None).otherwise(found) if exclude is not None else found

@@ -65,7 +65,13 @@ HTTP_MAPPINGS = {
     "DeleteMapping": "DELETE",
     "PatchMapping": "PATCH",
 }
-LISTENER_BROKERS = {"KafkaListener": "kafka", "RabbitListener": "rabbit", "JmsListener": "jms", "StreamListener": "stream"}
+#: Listener annotations: kind of route, framework and broker.
+LISTENERS = {
+    "KafkaListener": ("kafka_topic", "kafka", "kafka"),
+    "RabbitListener": ("rabbit_queue", "rabbitmq", "rabbitmq"),
+    "JmsListener": ("jms_destination", "jms", "jms"),
+    "StreamListener": ("stream_binding", "stream", "stream"),
+}
 INJECT_ANNOTATIONS = ("Autowired", "Inject", "Resource")
 LOMBOK_CONSTRUCTORS = ("RequiredArgsConstructor", "AllArgsConstructor")
 
@@ -76,7 +82,7 @@ STOP_WORDS = (
     "do did has have had this that these those it its new no not will would should can could may might happens happen happened get gets got"
 ).split()
 
-ACTION_VERBS = "process handle create update delete save send receive publish consume execute run start stop validate assign join open close accept".split()
+ACTION_VERBS = "process handle on pick select assign notify dispatch publish consume route trigger enqueue distribute update create apply resolve reassign close open".split()
 
 RRF_K = 60
 IMPORT_PENALTY, IMPORT_FACTOR = 0.08, 0.88

@@ -77,9 +77,9 @@ def test_endpoints():
 
 def test_ignore_rules(spark):
     rules = files.BUILTIN + files.rules_of("*.log\n/gen/\n!keep.log\n# no\n", "project")
-    paths = ["a/b.log", "keep.log", "gen/x.java", "src/gen/x.java", ".git/config", "a/.gradle/x"]
+    paths = ["a/b.log", "keep.log", "gen/x.java", "src/gen/x.java", ".git/config", "a/.idea/x"]
     got = {r["path"]: (r["ignored"], r["pattern"]) for r in files.explained(spark.createDataFrame([(p,) for p in paths], "path string"), rules).collect()}
-    assert got == {"a/b.log": (True, "*.log"), "keep.log": (False, "!keep.log"), "gen/x.java": (True, "/gen/"), "src/gen/x.java": (False, None), ".git/config": (True, ".git/"), "a/.gradle/x": (True, ".gradle/")}
+    assert got == {"a/b.log": (True, "*.log"), "keep.log": (False, "!keep.log"), "gen/x.java": (True, "/gen/"), "src/gen/x.java": (False, None), ".git/config": (True, ".git/"), "a/.idea/x": (True, ".idea/")}
     tree = spark.createDataFrame([(p,) for p in ("m/pom.xml", "m/target/A.java", "m/src/target/B.java", "n/build/C.java")], "path string")
     assert {r["path"] for r in files.without_build_output(tree).collect()} == {"m/pom.xml", "m/src/target/B.java", "n/build/C.java"}
 
