@@ -129,7 +129,7 @@ def describe(g: CodeGraph, node_id: str, sites: int = 5) -> Result:
 
 # --- empty results ---
 
-ABSENT_FLOOR, CLOSE = 0.40, 0.80
+ABSENT_FLOOR, CLOSE = 0.40, 0.85
 
 
 def diagnose(g: CodeGraph, query: str, where: dict | NodeFilter | None = None, vocabulary: DataFrame | None = None) -> Result:
