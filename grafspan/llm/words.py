@@ -113,7 +113,7 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix64(total)
 
 
-def sets(texts: pa.Array, k: int, batch_bytes: int = 4 << 20):
+def sets(texts: pa.Array, k: int, batch_bytes: int = 1 << 20):
     """Yields the sorted distinct shingles of each text."""
     lens = np.diff(buffers(texts)[1])
     i = 0
