@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import vocabulary as V
+from ..config import Overrides
 from ..functions import keys as K
 from ..functions import text as X
 from ..graph import CodeGraph, Store
@@ -97,13 +98,26 @@ def roles(types: DataFrame, members: DataFrame, fields: DataFrame) -> DataFrame:
     return df.withColumns({"role": F.coalesce(by_annotation, F.when(dto, "DTO"), F.when(client, "CLIENT"), F.lit("OTHER")), "capabilities": F.array_sort(F.array_distinct(found))}).drop("_injected", "_noted")
 
 
+def overridden(types: DataFrame, o: Overrides) -> DataFrame:
+    """Types with what the project declares: a role by type before one by annotation before what was inferred; capabilities add up."""
+    role, more = F.col("role"), F.col("capabilities")
+    if o.roles_by_annotation:
+        role = F.coalesce(F.get(F.filter(F.transform("annotations", lambda a: F.try_element_at(_map(o.roles_by_annotation), a)), lambda x: x.isNotNull()), F.lit(0)), role)
+    if o.roles_by_fqn:
+        role = F.coalesce(F.try_element_at(_map(o.roles_by_fqn), F.col("fqn")), role)
+    for table, hit in ((o.capabilities_by_annotation, lambda k: F.array_contains("annotations", k)), (o.capabilities_by_fqn, lambda k: F.col("fqn") == k)):
+        for k, names in table.items():
+            more = F.concat(more, F.when(hit(k), _names(names)).otherwise(X.empty()))
+    return types.withColumns({"role": role, "capabilities": F.array_sort(F.array_distinct(more))})
+
+
 def meta_annotations(types: DataFrame, known: tuple[str, ...], depth: int = 4) -> DataFrame:
     """(annotation, means): own annotations that carry a known one, directly or through others."""
     direct = types.where("kind = 'annotation'").select(F.col("name").alias("src"), F.explode("annotations").alias("dst"))
     return traversal.ancestors(direct, depth).where(F.col("super").isin(*known)).select(F.col("sub").alias("annotation"), F.col("super").alias("means"))
 
 
-def build(units: DataFrame, places: DataFrame, texts: DataFrame | None = None) -> CodeGraph:
+def build(units: DataFrame, places: DataFrame, texts: DataFrame | None = None, overrides: Overrides | None = None) -> CodeGraph:
     """units: parsed files (see sources.java.SCHEMA). places: filename, module, microservice."""
     spark, keep = units.sparkSession, Work(units.sparkSession).keep
     own = keep(places.select("filename", "module", "microservice"))
@@ -119,6 +133,7 @@ def build(units: DataFrame, places: DataFrame, texts: DataFrame | None = None) -
     meta = meta_annotations(types, tuple(V.ROLE_BY_ANNOTATION))
     implied = types.select("fqn", F.explode("annotations").alias("annotation")).join(meta, "annotation").groupBy("fqn").agg(F.min("means").alias("_means"))
     types = types.join(implied, "fqn", "left").withColumn("role", F.when((F.col("role") == "OTHER") & F.col("_means").isNotNull(), F.element_at(_map(V.ROLE_BY_ANNOTATION), F.col("_means"))).otherwise(F.col("role"))).drop("_means")
+    types = overridden(types, overrides or Overrides())
     types = keep(types.withColumn("id", K.symbol_id(F.col("kind"), F.col("fqn"), F.col("filename"), F.col("start_byte"))))
     members = members.join(own, "filename", "left").join(types.select(F.col("fqn").alias("type_fqn"), F.col("id").alias("parent_id"), F.col("role").alias("owner_role")), "type_fqn")
     members = members.withColumn("id", K.symbol_id(F.col("kind"), F.col("fqn"), F.col("filename"), F.col("start_byte")))
@@ -293,28 +308,28 @@ def endpoint_tables(units: DataFrame, members: DataFrame, keep: Callable[[DataFr
     return tables, {"EXPOSES": exposes, "DECLARES_CLIENT": owned(clients), "DECLARES_PRODUCER": owned(producers), "HTTP_CALLS": edge("http"), "ASYNC_CALLS": edge("async")}
 
 
-def from_files(sources: DataFrame, all_paths: DataFrame | None = None, overrides: dict[str, str] | None = None) -> CodeGraph:
+def from_files(sources: DataFrame, all_paths: DataFrame | None = None, overrides: Overrides | None = None) -> CodeGraph:
     """sources: filename, content (binary). all_paths: path of every file, for build markers."""
-    places = files.owners(sources.select("filename"), all_paths if all_paths is not None else sources.select(F.col("filename").alias("path")), overrides)
-    return build(java.parsed(sources), places, sources.select("filename", F.decode("content", "UTF-8").alias("text")))
+    places = files.owners(sources.select("filename"), all_paths if all_paths is not None else sources.select(F.col("filename").alias("path")), (overrides or Overrides()).microservices)
+    return build(java.parsed(sources), places, sources.select("filename", F.decode("content", "UTF-8").alias("text")), overrides)
 
 
-def full(spark: SparkSession, root: str, store: Store, **given) -> int:  # noqa: ANN003
+def full(spark: SparkSession, root: str, store: Store, overrides: Overrides | None = None, **given) -> int:  # noqa: ANN003
     """Reads a source tree and commits a new version of its graph, with the hashes it was made from."""
     sources = files.scan(spark, root, **given)
     every = files.scan(spark, root, glob="*").select(F.col("filename").alias("path"))
     hashes = sources.select(F.col("filename").alias("path"), F.sha2("content", 256).alias("sha256"))
-    return store.write(from_files(sources, every), {"source_root": root, "mode": "full"}, hashes)
+    return store.write(from_files(sources, every, overrides), {"source_root": root, "mode": "full"}, hashes)
 
 
-def increment(spark: SparkSession, root: str, store: Store, cap: int = incremental.EXPANSION_CAP) -> tuple[int | None, str]:
+def increment(spark: SparkSession, root: str, store: Store, cap: int = incremental.EXPANSION_CAP, overrides: Overrides | None = None) -> tuple[int | None, str]:
     """Brings a graph up to date: (version, mode). Nothing is written if no file changed.
 
     Names are resolved over all files, so that the result equals a full build; what did not change keeps
     its rows. Many changes, a stale version or a missing one make a full build.
     """
     if not store.exists():
-        return full(spark, root, store), "full"
+        return full(spark, root, store, overrides), "full"
     sources = files.scan(spark, root)
     now = sources.select(F.col("filename").alias("path"), F.sha2("content", 256).alias("sha256"))
     changed = Work(spark).keep(incremental.difference(store.files(), now))
@@ -323,9 +338,9 @@ def increment(spark: SparkSession, root: str, store: Store, cap: int = increment
         return None, "none"
     ok = store.meta().get("ontology_version") == V.ONTOLOGY_VERSION
     if incremental.needs_full(n, ok, True, cap):
-        return full(spark, root, store), "full"
+        return full(spark, root, store, overrides), "full"
     old, every = store.read(), files.scan(spark, root, glob="*").select(F.col("filename").alias("path"))
     names = changed.select(F.col("path").alias("filename"))
-    fresh = from_files(sources, every)
+    fresh = from_files(sources, every, overrides)
     graph = incremental.rewritten(old, fresh, names, incremental.dependents(old, names))
     return store.write(graph, {"source_root": root, "mode": "increment"}, now), "increment"

@@ -1,5 +1,6 @@
 """Readers of source trees, and the graph that comes out of one."""
 
+from grafspan import config
 from grafspan.graph import Store
 from grafspan.plans import build
 from grafspan.sources import endpoints, files, java
@@ -105,7 +106,8 @@ def test_build_and_increment(spark, tmp_path):
     (root / "pom.xml").write_text("<project/>")
     (root / "p" / "A.java").write_bytes(JAVA)
     store = Store(spark, str(tmp_path / "index"))
-    assert build.full(spark, str(tmp_path / "src"), store) == 1
+    mine = config.Overrides(roles_by_fqn={"p.Base": "SERVICE"}, capabilities_by_annotation={"Repository": ["STORES"]})
+    assert build.full(spark, str(tmp_path / "src"), store, mine) == 1
     g = store.read()
     name = {r["id"]: r["fqn"] for r in g.symbol.select("id", "fqn").collect()}
     calls = {(name[r["src"]], name[r["dst"]]): r["strategy"] for r in g.edge("CALLS").collect()}
@@ -115,15 +117,24 @@ def test_build_and_increment(spark, tmp_path):
     assert {(name[r["src"]], name[r["dst"]]) for r in g.edge("OVERRIDES").collect()} == {("p.A#go()", "p.Face#go()")}
     assert {r["reason"] for r in g.unresolved.collect()} >= {"chained_receiver"}
     roles = {r["fqn"]: (r["role"], r["microservice"]) for r in g.symbol.where("kind = 'class' and resolved").collect()}
-    assert roles["p.A"] == ("CONTROLLER", "svc") and roles["p.Repo"] == ("REPOSITORY", "svc")
+    assert roles["p.A"] == ("CONTROLLER", "svc") and roles["p.Repo"] == ("REPOSITORY", "svc") and roles["p.Base"] == ("SERVICE", "svc")
+    assert g.symbol.where("fqn = 'p.Repo'").first()["capabilities"] == ["STORES"]
     assert {r["match"] for r in g.edge("HTTP_CALLS").collect()} == {"phantom"}
     assert build.increment(spark, str(tmp_path / "src"), store) == (None, "none")
     (root / "p" / "New.java").write_text("package p; class New { void n(Repo r) { r.find(2L); } }")
-    assert build.increment(spark, str(tmp_path / "src"), store)[1] == "increment"
+    assert build.increment(spark, str(tmp_path / "src"), store, overrides=mine)[1] == "increment"
     one = store.read()
-    build.full(spark, str(tmp_path / "src"), store)
+    build.full(spark, str(tmp_path / "src"), store, mine)
     two = store.read()
     rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
     assert rows(one.symbol) == rows(two.symbol)
     for k in one.edges:
         assert rows(one.edges[k]) == rows(two.edges[k]), k
+
+
+def test_settings(tmp_path):
+    (tmp_path / "c.json").write_text('{"ngram_q": 4, "candidate_count": 9, "hints": "off"}')
+    s = config.settings({"ngram_q": 2}, tmp_path / "c.json", {"GRAFSPAN_CANDIDATE_COUNT": "x", "GRAFSPAN_HINTS": "no"})
+    assert (s["ngram_q"].value, s["ngram_q"].source) == (2, "flag")
+    assert (s["candidate_count"].value, s["candidate_count"].source) == (9, "file")
+    assert (s["hints"].value, s["hints"].source, s["absent_floor"].source) == (False, "env", "default")
