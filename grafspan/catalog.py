@@ -246,8 +246,8 @@ TERMS = ["the", "ention", "heitung", "menteau"]
 
 @query(f"WITH {BM25_SQL} SELECT doc_id, round(s, 6) AS bm25 FROM bm")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.postings(star.table(spark, sf_dir, "documents"), "doc_id", retrieval.words(F.col("text")))
-    return retrieval.bm25(index, "doc_id", TERMS).select("doc_id", F.round("bm25", 6).alias("bm25"))
+    docs, words = star.table(spark, sf_dir, "documents"), retrieval.words(F.col("text"))
+    return retrieval.bm25(retrieval.postings(docs, "doc_id", words), "doc_id", TERMS, retrieval.totals(docs, words)).select("doc_id", F.round("bm25", 6).alias("bm25"))
 
 
 KNN_SQL = "SELECT vec_id, label, list_distance(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS d FROM embeddings"
@@ -272,8 +272,8 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = star.table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").first()["embedding"]
     near = e.select(F.col("vec_id").alias("id"), retrieval.l2(F.col("embedding"), F.array(*[F.lit(x) for x in q])).alias("o"))
-    index = retrieval.postings(star.table(spark, sf_dir, "documents"), "doc_id", retrieval.words(F.col("text")))
-    text = retrieval.bm25(index, "doc_id", TERMS).select(F.col("doc_id").alias("id"), (-F.col("bm25")).alias("o"))
+    docs, words = star.table(spark, sf_dir, "documents"), retrieval.words(F.col("text"))
+    text = retrieval.bm25(retrieval.postings(docs, "doc_id", words), "doc_id", TERMS, retrieval.totals(docs, words)).select(F.col("doc_id").alias("id"), (-F.col("bm25")).alias("o"))
     return ranking.rrf([near, text], ["id"], ["o", "id"]).select("id", "lists", F.round("rrf", 9).alias("rrf"), F.round("score", 6).alias("score"))
 
 
