@@ -2,9 +2,12 @@
 
 A line is a list of tokens; tokens with a digit are variable from the start (``<*>``). The tree has
 a fixed depth: the number of tokens, then the first ``DEPTH`` tokens. Lines of one leaf are compared
-place by place: a token that ``least_docs`` documents have at its place there is constant, any other
-is variable. What is left is the line's template. A template that has ``constant`` of its places
-fixed and occurs in ``least_docs`` different texts is boilerplate, and all its lines are dropped.
+place by place: tokens are counted by the documents that have them at their place there. In a template
+``constant`` of the places are fixed, so as many of a line's tokens, the most frequent ones, give the
+measure: the least count among them. A token with ``SHARE`` of that measure is constant, any other is
+variable, so that a field is variable whatever the corpus' size and whatever else is in the leaf. What is
+left is the line's template. One that occurs in ``least_docs`` different texts is boilerplate, and all its
+lines are dropped.
 
 Only leaves with enough lines can hold such a template. Lines are therefore counted by leaf
 first (a 64-bit key each), and a blocked Bloom filter of the frequent leaves, of bounded size, picks
@@ -26,6 +29,7 @@ from .shared import Stage, clear, words_of
 from .url_filter import WORDS, block_and_mask, blocks_for, bloom
 
 DEPTH = 3
+SHARE = 0.5
 VARIABLE = "<*>"
 
 
@@ -66,10 +70,12 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
     kinds = own.groupBy("_leaf", "_key").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).join(leaves, "_leaf", "left_semi")
     kinds = stage.write(kinds, "kinds")
     tokens = kinds.select("_leaf", "_key", "n", F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
-    common = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("n").alias("_docs")).where((F.col("_docs") >= least_docs) & (F.col("_token") != VARIABLE)).drop("_docs")
-    fixed = tokens.join(common.withColumn("_fixed", F.lit(True)), ["_leaf", "_at", "_token"], "left")
-    whole = fixed.groupBy("_leaf", "_key").agg(F.array_sort(F.collect_list(F.struct("_at", F.when(F.col("_fixed"), F.col("_token")).otherwise(VARIABLE).alias("t"))))["t"].alias("_t"))
-    whole = whole.where(F.size(F.filter("_t", lambda t: t != VARIABLE)) >= constant * F.size("_t"))
+    # A token of fewer documents can't be constant in a template of least_docs.
+    common = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("n").alias("_docs")).where((F.col("_docs") >= least_docs) & (F.col("_token") != VARIABLE))
+    counted = tokens.join(common, ["_leaf", "_at", "_token"], "left").withColumn("_docs", F.coalesce("_docs", F.lit(0)))
+    whole = counted.groupBy("_leaf", "_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_token", "_docs"))).alias("_t"))
+    whole = whole.withColumn("_measure", F.get(F.sort_array("_t._docs", asc=False), F.greatest(F.ceil(constant * F.size("_t")), F.lit(1)).cast("int") - 1)).where("_measure > 0")
+    whole = whole.withColumn("_t", F.transform("_t", lambda t: F.when((t["_docs"] > 0) & (t["_docs"] >= SHARE * F.col("_measure")), t["_token"]).otherwise(VARIABLE)))
     whole = stage.write(whole.select("_key", F.array_join("_t", " ").alias("template")).withColumn("template_id", F.md5("template")), "templates")
     of_line = lines.select("_text", "_no", "_key").join(whole.select("_key", "template_id"), "_key").select("_text", "_no", "template_id")
     of_line = stage.write(of_line, "of-line")

@@ -299,6 +299,15 @@ def test_line_templates(spark, empty):
     assert line_templates.drop_templates(empty).count() == 0
 
 
+def test_line_templates_at_two_sizes(spark):
+    names = [a + b for a in "kamo sile turo bena".split() for b in "rin dal vek pos mur".split()]
+    for n in (100, 1000):  # a value of a field is in 5 and in 50 texts, a pair of values in 0 and in 2 or 3
+        rng = random.Random(n)
+        fields = [(rng.choice(names), rng.choice(names)) for _ in range(n)]
+        df = spark.createDataFrame([(i, f"Posted in the {a} section by {b} today\nPosted in the {'abcdefghij'[i % 10]}{i:x}x unlike row of words{i:x}") for i, (a, b) in enumerate(fields)], "doc_id long, text string")
+        assert line_templates.drop_templates(df).agg(F.sum(F.array_contains("dropped", 0).cast("int"))).first()[0] == n
+
+
 def test_token_counts(spark, docs, empty):
     rollup = token_counts.Rollup(spark)
     load = docs.select("doc_id", "source", "lang", "text").withColumn("op", F.lit("insert"))
