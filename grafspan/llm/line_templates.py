@@ -6,15 +6,17 @@ place by place: tokens are counted by the documents that have them at their plac
 ``constant`` of the places are fixed, so as many of a line's tokens, the most frequent ones, give the
 measure: the least count among them. A token with ``SHARE`` of that measure is constant, any other is
 variable, so that a field is variable whatever the corpus' size and whatever else is in the leaf. What is
-left is the line's template. One that occurs in ``least_docs`` different texts is boilerplate, and all its
-lines are dropped.
+left is the line's template. One that occurs in enough different texts is boilerplate, and all its
+lines are dropped. Enough are ``least_docs`` for up to ``SHORT`` tokens; the number falls with the line's
+length, to two above ``LONG`` tokens. Lines of fewer than ``least_tokens`` tokens have no place for a
+field: their whole masked text is their leaf and template.
 
 Only leaves with enough lines can hold such a template. Lines are therefore counted by leaf
 first (a 64-bit key each), and a blocked Bloom filter of the frequent leaves, of bounded size, picks
 the lines that go on with their tokens; a join with the leaves themselves removes false positives.
 
-Defined cases: a null text stays null and has no lines; lines of fewer than ``least_tokens`` tokens
-are kept; equal texts count as one document and lose the same lines; very long lines are lines
+Defined cases: a null text stays null and has no lines; blank lines, and lines with too few tokens
+without a digit, are kept; equal texts count as one document and lose the same lines; very long lines are lines
 like others; an empty table gives an empty result. A text that loses nothing is unchanged.
 Names beginning with an underscore are used inside; other columns pass through,
 but for those that bear the name of a result.
@@ -30,6 +32,7 @@ from .url_filter import WORDS, block_and_mask, blocks_for, bloom
 
 DEPTH = 3
 SHARE = 0.5
+SHORT, LONG = 10, 50
 VARIABLE = "<*>"
 
 
@@ -40,21 +43,27 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ ]*?[0-9][^ ]*", VARIABLE)).otherwise(tokens)
 
 
+def enough(size: Column, least_docs: int) -> Column:
+    """The number of different texts that a template of so many tokens must have."""
+    falling = F.ceil(F.lit(least_docs * SHORT) / size).cast("int")
+    return F.when(size <= SHORT, F.lit(least_docs)).when(size > LONG, F.lit(min(2, least_docs))).otherwise(F.greatest(falling, F.lit(min(2, least_docs))))
+
+
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(_text, _no, _line, _leaf) of all lines; _leaf is null where a line has too few tokens. _text stands for the whole text."""
+    """(_text, _no, _line, _size, _leaf) of all lines; _leaf is null where a line is blank. _text stands for the whole text."""
     lines = docs.select(F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
     # A generator of one row: what is above it reads the masked line and doesn't make it again.
     lines = lines.select("_text", "_no", F.explode(F.array(masked(F.col("_raw")))).alias("_line"))
     count = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
     # The leading tokens are what stands before the DEPTH-th space.
-    leaf = F.when(count >= least_tokens, F.xxhash64(count, F.substring_index("_line", " ", DEPTH)))
-    return lines.select("_text", "_no", "_line", F.explode(F.array(leaf)).alias("_leaf"))
+    leaf = F.when(count >= least_tokens, F.xxhash64(count, F.substring_index("_line", " ", DEPTH))).when(F.col("_line") != "", F.xxhash64(F.lit(0), "_line"))
+    return lines.select("_text", "_no", "_line", count.alias("_size"), F.explode(F.array(leaf)).alias("_leaf"))
 
 
 def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, constant: float = 0.5, stage: Stage | None = None) -> tuple[DataFrame, DataFrame]:
     """(_text, _no, template_id) of the lines to drop, and (template_id, template, docs) of the boilerplate."""
     stage = stage or Stage(docs.sparkSession, "lines")
-    leaves = _lines(docs, least_tokens).groupBy("_leaf").agg(F.count("*").alias("n")).where((F.col("n") >= least_docs) & F.col("_leaf").isNotNull())
+    leaves = _lines(docs, least_tokens).groupBy("_leaf").agg(F.count("*").alias("n"), F.max("_size").alias("_size")).where((F.col("n") >= enough(F.col("_size"), least_docs)) & F.col("_leaf").isNotNull())
     leaves = stage.write(leaves.select("_leaf"), "leaves")
     blocks = blocks_for(leaves.count(), max_blocks=1 << 16)
     seen = bloom(leaves.select(F.col("_leaf").alias("key")), blocks)
@@ -69,20 +78,23 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
     own = lines.groupBy("_leaf", "_key", "_text").agg(F.min("_line").alias("_line"))
     kinds = own.groupBy("_leaf", "_key").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).join(leaves, "_leaf", "left_semi")
     kinds = stage.write(kinds, "kinds")
-    tokens = kinds.select("_leaf", "_key", "n", F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
-    # A token of fewer documents can't be constant in a template of least_docs.
-    common = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("n").alias("_docs")).where((F.col("_docs") >= least_docs) & (F.col("_token") != VARIABLE))
+    tokens = kinds.select("_leaf", "_key", "n", F.size(F.split("_line", " ")).alias("_size"), F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
+    # A token of fewer documents can't be constant in a template of that many.
+    tokens = tokens.withColumn("_enough", enough(F.col("_size"), least_docs))
+    common = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("n").alias("_docs"), F.max("_enough").alias("_e")).where((F.col("_docs") >= F.col("_e")) & (F.col("_token") != VARIABLE)).drop("_e")
     counted = tokens.join(common, ["_leaf", "_at", "_token"], "left").withColumn("_docs", F.coalesce("_docs", F.lit(0)))
     whole = counted.groupBy("_leaf", "_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_token", "_docs"))).alias("_t"))
     whole = whole.withColumn("_measure", F.get(F.sort_array("_t._docs", asc=False), F.greatest(F.ceil(constant * F.size("_t")), F.lit(1)).cast("int") - 1)).where("_measure > 0")
-    whole = whole.withColumn("_t", F.transform("_t", lambda t: F.when((t["_docs"] > 0) & (t["_docs"] >= SHARE * F.col("_measure")), t["_token"]).otherwise(VARIABLE)))
-    whole = stage.write(whole.select("_key", F.array_join("_t", " ").alias("template")).withColumn("template_id", F.md5("template")), "templates")
-    of_line = lines.select("_text", "_no", "_key").join(whole.select("_key", "template_id"), "_key").select("_text", "_no", "template_id")
+    # Where the measure allows least_docs, a token of fewer stays variable.
+    least = F.greatest(SHARE * F.col("_measure"), F.when(F.col("_measure") >= least_docs, F.lit(least_docs)).otherwise(F.lit(1)))
+    whole = whole.withColumn("_t", F.transform("_t", lambda t: F.when(t["_docs"] >= least, t["_token"]).otherwise(VARIABLE)))
+    whole = stage.write(whole.select("_key", F.array_join("_t", " ").alias("template"), enough(F.size("_t"), least_docs).alias("_enough")).withColumn("template_id", F.md5("template")), "templates")
+    of_line = lines.select("_text", "_no", "_key").join(whole.select("_key", "template_id", "_enough"), "_key").select("_text", "_no", "template_id", "_enough")
     of_line = stage.write(of_line, "of-line")
-    often = of_line.select("template_id", "_text").distinct().groupBy("template_id").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs)
+    often = of_line.select("template_id", "_text", "_enough").distinct().groupBy("template_id").agg(F.count("*").alias("docs"), F.max("_enough").alias("_enough")).where(F.col("docs") >= F.col("_enough")).drop("_enough")
     often = stage.write(often, "often")
     report = whole.groupBy("template_id").agg(F.min("template").alias("template")).join(often, "template_id")
-    return of_line.join(often.select("template_id"), "template_id"), report
+    return of_line.drop("_enough").join(often.select("template_id"), "template_id"), report
 
 
 def drop_templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, constant: float = 0.5, stage: Stage | None = None) -> DataFrame:

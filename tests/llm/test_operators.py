@@ -308,6 +308,16 @@ def test_line_templates_at_two_sizes(spark):
         assert line_templates.drop_templates(df).agg(F.sum(F.array_contains("dropped", 0).cast("int"))).first()[0] == n
 
 
+def test_line_templates_short_and_long(spark):
+    long = " ".join(f"p{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    middle, rows = " ".join(long.split()[:20]), []
+    for i in range(12):
+        own = "abcdefghijkl"[i] * 3
+        rows.append((i, f"All rights reserved.\n\n{own} one\nPage {i}\n{long if i < 2 else own}\n{middle if i < 5 else own * 2}\n{own + middle if i < 4 else own * 3}\n{i}"))
+    got = {r["doc_id"]: r["dropped"] for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: [0, 3] + [4] * (i < 2) + [5] * (i < 5) for i in range(12)}
+
+
 def test_token_counts(spark, docs, empty):
     rollup = token_counts.Rollup(spark)
     load = docs.select("doc_id", "source", "lang", "text").withColumn("op", F.lit("insert"))
