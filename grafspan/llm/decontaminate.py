@@ -6,7 +6,9 @@
    matrices of (terms x rank) meet on the driver.
 3. Every document is read in half-overlapping windows. A window with ``SHARE`` of its squared TF-IDF
    length in the benchmark's terms, and ``SHARE`` of its length in the latent space, is a candidate
-   for the items whose passages have a cosine of ``COSINE`` or more to it there.
+   for the items whose passages have a cosine of ``COSINE`` or more to it there. Both shares are less for
+   an item shorter than a window, in proportion. Words outside the benchmark, whose frequency isn't
+   counted, weigh as much as the median term that documents have, so shares don't depend on the corpus' size.
 4. Around a candidate window the longest common subsequence of words with the whole item is found.
    A document leaks an item if that covers ``COVER`` of the item's words, or ``PART`` of them with
    ``ANSWER`` of its last quarter (where a question's answer stands), words counted by their weight.
@@ -74,6 +76,12 @@ def _frequencies(vocab: np.ndarray):
     return run
 
 
+def weights_of(df: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+    """Weights of the terms, and of a word that is none: the median of those that documents have."""
+    idf = np.log((n + 1) / (df + 1)) + 0.01
+    return idf, float(np.median(idf[df > 0])) if (df > 0).any() else 0.01
+
+
 def _rows(h_lists: list[np.ndarray], find: words.Lookup, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages to (passage, term, value) of rows of unit length."""
     p, t, v = [], [], []
@@ -165,6 +173,8 @@ def _search(vocab: np.ndarray, idf: np.ndarray, unknown: float, latent: np.ndarr
     owner = np.array([i for i, _ in cut])
     weights = [idf[find(h)] for h in items]
     lists = [h.tolist() for h in items]
+    short = np.array([min(1.0, len(h) / WINDOW) for h in items])
+    least, needed = SHARE * short.min(), (SHARE * short[owner]).astype(np.float32)
     vectors, squares = (latent * idf[:, None]).astype(np.float32), np.append(idf**2, unknown**2).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,26 +192,31 @@ def _search(vocab: np.ndarray, idf: np.ndarray, unknown: float, latent: np.ndarr
                 pair = lambda x: x + np.where(same.reshape(-1, *[1] * (x.ndim - 1)), np.append(x[1:], x[:1] * 0, axis=0), 0)
                 whole = pair(np.add.reduceat(square, begins))
                 own = pair(np.add.reduceat(np.where(term >= 0, square, 0), begins))
-                near = own >= SHARE * whole
+                near = own >= least * whole
                 if not near.any():
                     continue
                 # Vectors are summed for the blocks of near windows alone.
                 used = np.flatnonzero(near | np.append(False, near[:-1] & same[:-1]))
                 size = np.diff(np.append(begins, len(h)))[used]
                 flat = np.repeat(begins[used] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                rows = vectors[np.maximum(term[flat], 0)] * (term[flat] >= 0)[:, None]
-                blocks = np.add.reduceat(rows, np.append(0, np.cumsum(size)[:-1]), axis=0)
+                first_of = np.append(0, np.cumsum(size))
+                blocks = np.zeros((len(used), vectors.shape[1]), np.float32)
+                for s in range(0, len(used), 2048):
+                    at_once = term[flat[first_of[s] : first_of[min(s + 2048, len(used))]]]
+                    rows = vectors[np.maximum(at_once, 0)] * (at_once >= 0)[:, None]
+                    blocks[s : s + 2048] = np.add.reduceat(rows, first_of[s : min(s + 2048, len(used))] - first_of[s], axis=0)
                 place = np.full(len(begins), -1)
                 place[used] = np.arange(len(used))
                 w = np.flatnonzero(near)
                 x = blocks[place[w]] + np.where(same[w, None], blocks[np.where(same[w], place[np.minimum(w + 1, len(begins) - 1)], 0)], 0)
                 norm = np.sqrt((x**2).sum(axis=1))
-                inside = (norm > 0) & (norm >= SHARE * np.sqrt(whole[w]))
-                w, x, norm = w[inside], x[inside], norm[inside]
+                share = np.minimum(own[w] / whole[w], norm / np.sqrt(whole[w]))
+                inside = (norm > 0) & (share >= least)
+                w, x, norm, share = w[inside], x[inside], norm[inside], share[inside]
                 best: dict[tuple[int, int], list] = {}
                 for s in range(0, len(w), 2048):
                     cosine = x[s : s + 2048] @ target / norm[s : s + 2048, None]
-                    for i, j in zip(*np.nonzero(cosine >= COSINE), strict=True):
+                    for i, j in zip(*np.nonzero((cosine >= COSINE) & (share[s : s + 2048, None] >= needed)), strict=True):
                         key = (int(text[begins[w[s + i]]]), int(owner[j]))
                         best.setdefault(key, []).append((float(cosine[i, j]), int(begins[w[s + i]])))
                 for (d, item), spots in best.items():
@@ -254,8 +269,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = 2000) -> DataFrame
                 n = r["df"]
             else:
                 df[r["term"]] = r["df"]
-        idf = np.log((n + 1) / (df + 1)) + 0.01
-        unknown = float(np.log(n + 1) + 0.01)
+        idf, unknown = weights_of(df, n)
         latent = randomised_svd(some, vocab, idf)
         hits = docs.mapInArrow(_search(vocab, idf, unknown, latent, [i for i, _ in rows], texts), schema)
         out = hits if out is None else out.unionByName(hits)

@@ -254,6 +254,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_at_any_size():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    hashed = lambda t: decontaminate.words.hashed(*decontaminate.words.buffers(pa.array([t])), gaps=decontaminate.words.MARKS)[0]
+    texts = [" ".join(f"term{rng.randrange(400)}" for _ in range(k)) for k in [10] * 20 + [40] * 20]
+    items = [hashed(t) for t in texts]
+    vocab = np.unique(np.concatenate(items))
+    docs = [f"{' '.join(f'plain{rng.randrange(9999)}' for _ in range(60))} {t} {' '.join(f'plain{rng.randrange(9999)}' for _ in range(60))}" for t in texts]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": docs})
+    for scale in (1, 1000):  # terms that a tenth of the documents have
+        idf, unknown = decontaminate.weights_of(np.full(len(vocab), 1000.0 * scale), 10000 * scale)
+        run = decontaminate._search(vocab, idf, unknown, np.eye(len(vocab)), list(range(40)), items)
+        found = {(r["doc_id"], r["item_id"]) for out in run(iter([batch])) for r in out.to_pylist()}
+        assert {(i, i) for i in range(40)} <= found
+
+
 def test_subsequence():
     rng = random.Random(2)
     for _ in range(200):
