@@ -15,10 +15,12 @@ Only leaves with enough lines can hold such a template. Lines are therefore coun
 first (a 64-bit key each), and a blocked Bloom filter of the frequent leaves, of bounded size, picks
 the lines that go on with their tokens; a join with the leaves themselves removes false positives.
 
+Texts and lines are named by 128 bits; should two leaves share their 64, their tokens are counted together.
+
 Defined cases: a null text stays null and has no lines; blank lines, and lines with too few tokens
-without a digit, are kept; equal texts count as one document and lose the same lines; very long lines are lines
-like others; an empty table gives an empty result. A text that loses nothing is unchanged.
-Names beginning with an underscore are used inside; other columns pass through,
+without a digit, are kept; equal texts (known by their 128-bit digest) count as one document and lose the same lines;
+very long texts and lines are like others; tokens of equal counts are constant or variable together; an empty table gives an
+empty result. A text that loses nothing is unchanged. Names beginning with an underscore are used inside; other columns pass through,
 but for those that bear the name of a result.
 """
 
@@ -51,7 +53,7 @@ def enough(size: Column, least_docs: int) -> Column:
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
     """(_text, _no, _line, _size, _leaf) of all lines; _leaf is null where a line is blank. _text stands for the whole text."""
-    lines = docs.select(F.xxhash64("text").alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
+    lines = docs.select(F.unhex(F.md5("text")).alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
     # A generator of one row: what is above it reads the masked line and doesn't make it again.
     lines = lines.select("_text", "_no", F.explode(F.array(masked(F.col("_raw")))).alias("_line"))
     count = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
@@ -74,7 +76,7 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
         passes = passes & (F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
     # A line counts once for a text, however often the text has it.
     possible = probe.join(F.broadcast(seen), F.col("_block") == F.col("block")).where(passes).select("_text", "_no", "_leaf", "_line")
-    lines = stage.write(possible.withColumn("_key", F.xxhash64("_leaf", "_line", F.lit("line"))), "lines")
+    lines = stage.write(possible.withColumn("_key", F.unhex(F.md5("_line"))), "lines")
     own = lines.groupBy("_leaf", "_key", "_text").agg(F.min("_line").alias("_line"))
     kinds = own.groupBy("_leaf", "_key").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).join(leaves, "_leaf", "left_semi")
     kinds = stage.write(kinds, "kinds")
@@ -99,11 +101,12 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
 
 def drop_templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, constant: float = 0.5, stage: Stage | None = None) -> DataFrame:
     """docs without the lines of recurring templates; adds n_lines, n_dropped and dropped (their places, from 0)."""
-    docs = clear(docs, "n_lines", "n_dropped", "dropped")
+    docs, stage = clear(docs, "n_lines", "n_dropped", "dropped"), stage or Stage(docs.sparkSession, "lines")
     lines, _ = templates(docs.select("text"), least_docs, least_tokens, constant, stage)
-    gone = lines.groupBy("_text").agg(F.array_sort(F.collect_set("_no")).alias("dropped"))
+    # Written, so that the join below reads two shuffles: Spark can then split the rows of a text of many copies.
+    gone = stage.write(lines.groupBy("_text").agg(F.array_sort(F.collect_set("_no")).alias("dropped")), "gone")
     cols = docs.columns
-    out = docs.withColumn("_text", F.xxhash64("text")).join(gone, "_text", "left")
+    out = docs.withColumn("_text", F.unhex(F.md5("text"))).join(gone, "_text", "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("dropped"), i)), "\n")
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)

@@ -9,8 +9,10 @@ size offers its documents again, up to ``most`` times.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of
 its own, last in order; repeated rows (equal doc_id, source and text) are one unit of
-their joint size and are taken equally often; a null doc_id is shuffled like any other; an empty table gives an
-empty result. Names beginning with an underscore are used inside; other columns pass through.
+their joint size and are taken equally often; a null doc_id is shuffled like any other, since places in the queue
+are drawn from id and text; equal finish times fall to the smaller draw, id and text; a very long text is one
+document, so its source may end that much above or below its target; an empty table gives an empty result. Only
+doc_id, text and source are read: extra columns of any name don't matter, and aren't in the result.
 """
 
 from __future__ import annotations
@@ -58,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     # A surrogate for the text keeps it out of every later shuffle.
     sized = stage.write(docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_text")), "sizes")
     units = sized.groupBy("doc_id", "source", "_text", "size").agg(F.count("*").alias("_rows")).withColumn("_unit", F.col("size") * F.col("_rows"))
-    queue = units.withColumn("_draw", draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    queue = units.withColumn("_draw", draw(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text")))
     goals = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     queue = running_sum(queue, ["source"], ["_draw", "doc_id", "_text"], "_unit", "_cum", spread="_draw")
     q, g = queue.alias("q"), goals.alias("g")

@@ -48,7 +48,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, {WORD_SQL})), 0)::BIGINT AS size, md5(coalesce(text, '')) AS h,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS draw
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS draw
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
 w AS (SELECT source, source_size, (n % 3 + 1)::DOUBLE AS w, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER ()::DOUBLE AS budget FROM s),
@@ -100,15 +100,14 @@ FROM r
 """
 
 
-#: The rules of the URL query, and the hosts whose pages make up its list.
+#: The rules of the URL query.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-LISTED_HOSTS = r"^(www\.|m\.|blog\.)?(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\."
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: canonical URLs of all pages on hosts known for spam."""
+    """The list: every sixteenth canonical URL of the table, by its digest. Pages of one host differ, variants of one URL don't."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(url_filter.host_of(F.col("url")).rlike(LISTED_HOSTS)).select(url_filter.canonical(F.col("url")).alias("canonical"))
+    listed = pages.where(url_filter.host_of(F.col("url")) != "").select(url_filter.canonical(F.col("url")).alias("canonical")).where(F.md5("canonical").startswith("7"))
     return url_filter.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -116,15 +115,15 @@ OP3_SQL = r"""
 WITH p AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')) AS host, regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
 c AS (
-  SELECT *, regexp_replace(regexp_replace(host, '^(www|m|blog)\.([^.]+\.)', '\2'), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS canonical,
-         regexp_matches(host, '^(www\.|m\.|blog\.)?(spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\.') AS bad FROM p),
+  SELECT *, regexp_replace(regexp_replace(host, '^(www|m|blog)\.([^.]+\.)', '\2'), ':(80|443)$', '') || regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') AS canonical FROM p),
+l AS (SELECT DISTINCT canonical FROM c WHERE host <> '' AND starts_with(md5('=' || canonical), '7')),
 r AS (
   SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(h, q, v)),
 m AS (
   SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(v, length(h || q)) AS v
   FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT c.page_id, c.host, c.path, m.rule,
-       coalesce(m.v, CASE WHEN c.host <> '' AND c.canonical IN (SELECT canonical FROM c WHERE bad) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(m.v, CASE WHEN c.host <> '' AND c.canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END) AS verdict
 FROM c LEFT JOIN m ON c.page_id = m.page_id
 """
 
@@ -142,7 +141,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_text")
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

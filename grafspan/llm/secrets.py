@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and a likelihood ratio of two character Markov models.
 
-Spans come from three patterns (assign, access, hex) and from the models (kind ``random``): a run
-of 20 or more key characters with a letter and a digit, which no pattern has found, is a secret
-if a first-order Markov model of random strings explains it better than one of ordinary
-identifiers, by more than ``PER_CHAR`` nats a character. Both models are counted with DataFrame
+Spans come from three patterns (assign, access, hex) and from the models (kind ``random``). In a run
+of ``LEAST`` or more key characters, every character is weighed by how much better a first-order Markov model of
+random strings explains it than one of ordinary identifiers, less ``PER_CHAR`` nats. The part of the run with the
+largest sum is a secret if that is ``EVIDENCE`` nats or more, if it has ``PART`` characters, a letter and a digit,
+and no pattern has found it; names and paths before a key don't weaken it. Both models are counted with DataFrame
 functions from labelled samples (text, label); the table of their log-ratios has 128 x 128 entries,
 whatever the samples' size, and goes into the scan as one array literal. The scan is a projection
 over each row: no shuffle and no user function.
@@ -12,7 +13,8 @@ Positions are code points; a pattern's matches are found by extracting them and
 at them, so the pieces' lengths add up to places.
 
 Defined cases: a null text is an empty one and has no spans; repeated rows are scanned each for
-itself; very long texts are scanned whole; an empty table gives an empty result. Names beginning
+itself; very long texts and runs are scanned whole; of parts with equal sums the first counts, and spans of one start
+are listed by kind and end; an empty table gives an empty result. Names beginning
 with an underscore are used inside; other columns pass through, but for base and spans.
 """
 
@@ -32,8 +34,8 @@ PATTERNS = {
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}",
 }
 LEAST_VALUE = 6
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-PER_CHAR = 0.25
+LEAST, PART, PER_CHAR, EVIDENCE = 16, 12, 0.25, 7.0
+CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % LEAST
 _BLOCK = 128
 
 
@@ -123,6 +125,31 @@ def ratio(value: Column, weights: list[int]) -> Column:
     return F.transform(F.array(codes), lambda a: F.aggregate(F.transform(a, lambda c, i: F.when(i == 0, 0).otherwise(F.get(table, F.get(a, F.greatest(i - 1, F.lit(0))) * 128 + c))), F.lit(0), lambda s, x: s + x))[0]
 
 
+def best_part(value: Column, weights: list[int]) -> Column:
+    """struct<best, a, b>: the part [a, b) of an ASCII string with the largest sum of ratios less PER_CHAR, in thousandths of a nat."""
+    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
+    codes = F.transform(F.split(F.concat(F.lit("^"), value), ""), lambda c: F.ascii(c))
+    steps = lambda a: F.transform(F.slice(a, 2, F.size(a)), lambda c, i: F.get(table, F.get(a, i) * 128 + c) - int(1000 * PER_CHAR))
+    zero = F.lit(0)
+    start = F.struct(*[zero.alias(k) for k in ("i", "sum", "at", "best", "a", "b")])
+
+    def step(s: Column, x: Column) -> Column:
+        on = s["sum"] > 0
+        total, at, end = F.when(on, s["sum"]).otherwise(zero) + x, F.when(on, s["at"]).otherwise(s["i"]), s["i"] + 1
+        more = total > s["best"]
+        return F.struct(end.alias("i"), total.alias("sum"), at.alias("at"), F.greatest(total, s["best"]).alias("best"), F.when(more, at).otherwise(s["a"]).alias("a"), F.when(more, end).otherwise(s["b"]).alias("b"))
+
+    return F.transform(F.array(codes), lambda a: F.aggregate(steps(a), start, step, lambda s: F.struct(s["best"].alias("best"), s["a"].alias("a"), s["b"].alias("b"))))[0]
+
+
+def suspects(text: Column, weights: list[int]) -> Column:
+    """array<struct<start, end, value>> of the parts of a text's runs that the models hold for random."""
+    parts = F.transform(located(text, CANDIDATE), lambda r: F.struct(r["start"].alias("s"), r["value"].alias("v"), best_part(r["value"], weights).alias("p")))
+    parts = F.filter(parts, lambda r: (r["p"]["best"] >= int(1000 * EVIDENCE)) & (r["p"]["b"] - r["p"]["a"] >= PART))
+    spans = F.transform(parts, lambda r: F.struct((r["s"] + r["p"]["a"]).alias("start"), (r["s"] + r["p"]["b"]).alias("end"), F.substring(r["v"], r["p"]["a"] + 1, r["p"]["b"] - r["p"]["a"]).alias("value")))
+    return F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+
+
 def scan(docs: DataFrame, weights: list[int] | None = None, text: str = "text") -> DataFrame:
     """Adds base and all spans, array<struct<start, kind_no, end, kind>> in order, to docs."""
     weights = weights or train(labelled_samples(docs.sparkSession))
@@ -133,7 +160,7 @@ def scan(docs: DataFrame, weights: list[int] | None = None, text: str = "text")
     out = docs.withColumn("_base", F.concat(named(assign, 0, "assign"), named(located(whole, PATTERNS["access"]), 1, "access"), named(located(whole, PATTERNS["hex"]), 2, "hex")))
     base = F.sort_array("_base")
     free = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    odd = F.filter(located(whole, CANDIDATE), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & free(s) & (ratio(s["value"], weights) > F.length(s["value"]) * int(1000 * PER_CHAR)))
+    odd = F.filter(suspects(whole, weights), free)
     return out.withColumn("base", base).withColumn("spans", F.sort_array(F.concat("_base", named(odd, 3, "random")))).drop("_base")
 
 

@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a folder of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where that is unset, a local master gets a folder of its own; any other must name one."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="grafspan-"))
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -55,6 +57,11 @@ class Stage:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and _doc, a struct of all columns: whatever their names are, ``_doc.*`` brings them back."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+
+
 def clear(df: DataFrame, *made: str) -> DataFrame:
     """df without columns that an operator makes itself, and without names that begin with an underscore."""
     return df.drop(*[c for c in df.columns if c.startswith("_") or c in made])

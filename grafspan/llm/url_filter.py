@@ -2,15 +2,16 @@
 
 A list has entries of two kinds under one form of key: ``host/path`` rules, which fit the host, its
 subdomains and every path that starts with the rule's, and canonical URLs, which fit one page.
-A URL asks for its own canonical form and for every (host suffix, path prefix) that a rule could
-have. Each key selects one 256-bit block of the filter and a few bits in it; only keys whose bits
-are all set go on to the join with the list itself, which removes the false positives. The filter
-is bounded (``max_blocks`` of 32 bytes, whatever the list's length: a longer list only lets more
-keys through), so it may be broadcast. The list is never broadcast by us.
+A URL asks for its own canonical form and for the (host suffix, path prefix) of each shape, labels and
+length, that some rule has. Each key selects one 256-bit block of the filter and a few bits in it; only keys whose bits
+are all set go on to the join with the list itself, which removes the false positives. The filter's size
+follows the list's, 16 bits a key. Up to ``max_blocks`` blocks (8 MB) it is broadcast; a larger one is
+joined by block. The list is never broadcast by us; its distinct keys are hashed by partition.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and no rule, and is
 allowed; repeated rows are judged each for itself; an empty list allows everything; an empty
-table gives an empty result. Of several rules that fit, the longest wins, then the longest host.
+table gives an empty result. Of several rules that fit, the longest wins, then the longest host. Very long URLs cost
+time in proportion to their length.
 Names beginning with an underscore are used inside; other columns pass through,
 but for those that bear the name of a result.
 """
@@ -62,8 +63,9 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.select(block.alias("block"), *[m.alias(f"w{i}") for i, m in enumerate(masks)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def blocks_for(entries: int, bits: int = 16, max_blocks: int = 1 << 18) -> int:
-    return max(1, min(max_blocks, -(-entries * bits // (64 * WORDS))))
+def blocks_for(entries: int, bits: int = 16, max_blocks: int | None = None) -> int:
+    blocks = max(1, -(-entries * bits // (64 * WORDS)))
+    return min(blocks, max_blocks) if max_blocks else blocks
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, url: str = "url", max_blocks: int = 1 << 18) -> DataFrame:
@@ -77,8 +79,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     ruled = spark.range(1).select(fixed) if rules else None
     entries = listed.select(F.col("canonical").alias("key")).where("key is not null").distinct()
     every = entries.unionByName(ruled.select("key")) if rules else entries
-    blocks = blocks_for(every.count(), max_blocks=max_blocks)
+    blocks = blocks_for(every.count())
     seen = bloom(every, blocks)
+    seen = F.broadcast(seen) if blocks <= max_blocks else seen
 
     # Each distinct URL asks once; its keys carry no page.
     urls = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct()
@@ -88,7 +91,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
     passes = F.lit(True)
     for i in range(WORDS):
         passes = passes & (F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
-    possible = probe.join(F.broadcast(seen), F.col("_block") == F.col("block")).where(passes).select("_url", "key")
+    possible = probe.join(seen, F.col("_block") == F.col("block")).where(passes).select("_url", "key")
     hits = possible.where(F.col("key").startswith("=")).join(entries.hint("shuffle_hash"), "key").select("_url", F.lit(True).alias("_in"), F.lit(None).cast("struct<_len:int,_rule:string,_verdict:string>").alias("_top"))
     if rules:  # as many rows as the caller wrote down
         hits = hits.unionByName(possible.join(F.broadcast(ruled), "key").select("_url", F.lit(False).alias("_in"), F.struct("_len", "_rule", "_verdict").alias("_top")))
@@ -99,11 +102,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame
 
 
 def keys_of(url: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """The keys that a URL asks for: its canonical form, and each host suffix with each prefix as long as some rule's path."""
+    """The keys that a URL asks for: its canonical form, and host suffix with path prefix of each shape that a rule has."""
     host, path = host_of(url), path_of(url)
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    lengths = sorted({len(p) for _, p, _ in rules})
-    prefixes = F.array_distinct(F.array(*[F.substring(path, 1, n) if n else F.lit("") for n in lengths])) if lengths else F.array().cast("array<string>")
-    asked = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
-    return F.when(host != "", F.concat(F.array(canonical(url)), asked)).otherwise(F.array().cast("array<string>"))
+    shapes = sorted({(h.count(".") + 1, len(p)) for h, p, _ in rules})
+    # A host of fewer labels, or a shorter path, gives a key of another shape, which is none of a rule of this one.
+    asked = [F.concat(F.substring_index(host, ".", -n), F.lit("\n"), F.substring(path, 1, k) if k else F.lit("")) for n, k in shapes]
+    return F.when(host != "", F.array_distinct(F.array(canonical(url), *asked))).otherwise(F.array().cast("array<string>"))
