@@ -157,25 +157,107 @@ def test_quality(spark, docs, empty):
 
 def test_language_model(docs, empty, spark):
     assert language_model.score(empty).count() == 0
-    got = language_model.score(docs, hot=50).collect()
+    small = {"hot": 50, "coded": 30}
+    got = language_model.score(docs, **small).collect()
     assert len(got) == docs.count()
     tokens = [(i, lower(t).encode().split() + [b""]) for i, t, *_ in corpus()]
     held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
     c = collections.Counter(w for i, ws in tokens if not held(i) for w in ws)
     n, v = sum(c.values()), len(c)
-    expected = collections.defaultdict(list)
+    expected, size = collections.defaultdict(list), {(i, len(ws)): len((t or "").encode()) for (i, ws), (_, t, *_) in zip(tokens, corpus(), strict=True)}
     for i, ws in tokens:
         expected[i].append((held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)))
     for r in got:
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) in expected[r["doc_id"]]
-        assert r["score"] < 0
-    again = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs.repartition(5), hot=50).collect()}
-    assert all(again[(r["doc_id"], r["n_tokens"])] == pytest.approx(r["score"], rel=1e-6) for r in got)
+        assert r["score"] < 0 and r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / max(1, size[r["doc_id"], r["n_tokens"]]))
+    # Other partitions, and files read in other parts as with another number of cores: the same scores.
+    spark.conf.set("spark.sql.files.minPartitionNum", 11)
+    again = {(r["doc_id"], r["n_tokens"]): r["score"] for r in language_model.score(docs.repartition(5), **small).collect()}
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert all(again[(r["doc_id"], r["n_tokens"])] == pytest.approx(r["score"], rel=1e-12) for r in got)
     # What was learned explains held-out text of its kind better than noise.
     by_id = {r["doc_id"]: r for r in got}
     noise = spark.createDataFrame([(i, t) for i, t, *_ in corpus()] + [(3000, "zzqx wvvy kkzw " * 10)], "doc_id long, text string")
-    bad = next(r for r in language_model.score(noise, hot=50).collect() if r["doc_id"] == 3000)
-    assert by_id[103]["score"] / len(next(r[1] for r in corpus() if r[0] == 103)) > bad["score"] / 150
+    bad = next(r for r in language_model.score(noise, **small).collect() if r["doc_id"] == 3000)
+    assert by_id[103]["bits_per_byte"] < bad["bits_per_byte"]
+
+
+def test_language_model_reads_order(spark):
+    """Texts of a fixed chain of words: held-out ones score better than the same words shuffled."""
+    rng = random.Random(8)
+    vocab = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    follows = {w: rng.sample(vocab, 3) for w in vocab}
+    rows = []
+    for i in range(300):
+        w = [rng.choice(vocab)]
+        while len(w) < 60:
+            w.append(rng.choice(follows[w[-1]]))
+        rows.append((i, " ".join(w)))
+    out = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    ids = [j for j in range(5000, 9000) if zlib.crc32(str(j).encode()) % 10 == 0][: len(out)]
+    mixed = [(j, " ".join(rng.sample(rows[i][1].split(), 60))) for i, j in zip(out, ids, strict=True)]
+    got = {r["doc_id"]: r["bits_per_byte"] for r in language_model.score(spark.createDataFrame(rows + mixed, "doc_id long, text string")).collect()}
+    assert all(got[i] < 0.8 * got[j] for i, j in zip(out, ids, strict=True))
+
+
+def test_language_model_scores_bit_by_bit():
+    """The mixture of whole batches against a loop over texts, words and bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, lm = random.Random(13), language_model
+    vocab = [f"w{i}".encode() for i in range(40)]
+    texts = [b" ".join(rng.choice(vocab[: rng.choice((5, 40))]) for _ in range(n)) for n in (0, 1, 3, 17, 40, 90, 16, 33)]
+    coded, bits = 25, 20
+    many = np.arange(len(vocab), 0, -1)
+    code = lm.Code(np.append(many[:coded], many[coded:].sum()))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [t.decode() for t in texts]})
+    hot = [b"", *vocab[:-1]]
+    n = np.zeros(2 * lm.ORDERS << bits, np.int32)
+    parts = np.array_split(n, lm._CHUNKS)
+    for b in lm._word_tables(code, bits, hot, coded)(iter([batch])):
+        parts[b.column("chunk")[0].as_py()][:] = np.frombuffer(b.column("n")[0].as_py(), np.int32)
+    zeros, ones = n.reshape(2, -1)
+    weights = np.random.default_rng(1).uniform(0.1, 0.5, (lm.WORD_GATES, lm.INPUTS))
+    reader = lm.Reader(code, bits, zeros, ones, weights, rate=0.05)
+    held = next(lm.texts_of(iter([batch]), lm._Ids(hot)))
+    _, symbols, before, before2, starts = lm.sequence(held, coded, len(hot))
+    got = reader.score(symbols, before, before2, starts)
+    place = {w: i for i, w in enumerate(hot)}
+    counted, expected = collections.Counter(), []
+
+    def choices(word):
+        s = min(place.get(word, len(hot)), coded)
+        return [(int(code.node[k]), int(code.bit[k])) for k in range(code.first[s], code.first[s] + code.length[s])]
+
+    def contexts(before, node):
+        return [("o0", node), ("o1", before[-1], node), ("o2", before[-2], before[-1], node)]
+
+    for t in texts:
+        before = [None, None]
+        for word in [*t.split(), b""]:
+            for node, bit in choices(word):
+                counted.update((*c, bit) for c in contexts(before, node))
+            before.append(word if word in place else "rare")
+    stretch = lambda a, b: min(8, max(-8, math.log((b + 0.4) / (a + 0.4))))
+    level = lambda x: (x > 0) + (x > 3)
+    for t in texts:
+        w, own, before, total, grad = weights.copy(), collections.Counter(), [None, None], 0.0, np.zeros_like(weights)
+        for at, word in enumerate([*t.split(), b""]):
+            if at % lm.BLOCK == 0:
+                w, grad = w + grad, np.zeros_like(weights)
+            for node, bit in choices(word):
+                pairs = [(counted[(*c, 0)], counted[(*c, 1)]) for c in contexts(before, node)]
+                mine = own[node, 0], own[node, 1]
+                x = np.array([round(stretch(*p) * 15) / 15 for p in pairs] + [stretch(*mine), 0.3])
+                gate = (level(sum(pairs[1])) * 3 + level(sum(pairs[2]))) * 3 + level(sum(mine))
+                p = 1 / (1 + math.exp(-float(x @ w[gate])))
+                total += math.log(p if bit else 1 - p)
+                grad[gate] += 0.05 * (bit - p) * x
+                own[node, bit] += 1
+            before.append(word if word in place else "rare")
+        expected.append(total)
+    assert got == pytest.approx(expected, rel=2e-4)
 
 
 def brute_components(rows, k, percent):
