@@ -207,10 +207,11 @@ def test_language_model_scores_bit_by_bit():
 
     rng, lm = random.Random(13), language_model
     vocab = [f"w{i}".encode() for i in range(40)]
-    texts = [b" ".join(rng.choice(vocab[: rng.choice((5, 40))]) for _ in range(n)) for n in (0, 1, 3, 17, 40, 90, 16, 33)]
+    texts = [b" ".join(rng.choice(vocab[: rng.choice((5, 40))]) for _ in range(n)) for n in (0, 1, 3, 17, 40, 600, 16, 33)]
     coded, bits = 25, 20
     many = np.arange(len(vocab), 0, -1)
-    code = lm.Code(np.append(many[:coded], many[coded:].sum()))
+    symbols = np.append(many[:coded], many[coded:].sum())
+    code = lm.Code(symbols)
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [t.decode() for t in texts]})
     hot = [b"", *vocab[:-1]]
     n = np.zeros(2 * lm.ORDERS << bits, np.int32)
@@ -219,10 +220,10 @@ def test_language_model_scores_bit_by_bit():
         parts[b.column("chunk")[0].as_py()][:] = np.frombuffer(b.column("n")[0].as_py(), np.int32)
     zeros, ones = n.reshape(2, -1)
     weights = np.random.default_rng(1).uniform(0.1, 0.5, (lm.WORD_GATES, lm.INPUTS))
-    reader = lm.Reader(code, bits, zeros, ones, weights, rate=0.05)
+    reader = lm.Reader(code, bits, symbols, zeros, ones, weights, rate=0.05)
     held = next(lm.texts_of(iter([batch]), lm._Ids(hot)))
-    _, symbols, before, before2, starts = lm.sequence(held, coded, len(hot))
-    got = reader.score(symbols, before, before2, starts)
+    _, word_symbols, before, before2, starts = lm.sequence(held, coded, len(hot))
+    got = reader.score(word_symbols, before, before2, starts)
     place = {w: i for i, w in enumerate(hot)}
     counted, expected = collections.Counter(), []
 
@@ -231,7 +232,7 @@ def test_language_model_scores_bit_by_bit():
         return [(int(code.node[k]), int(code.bit[k])) for k in range(code.first[s], code.first[s] + code.length[s])]
 
     def contexts(before, node):
-        return [("o0", node), ("o1", before[-1], node), ("o2", before[-2], before[-1], node)]
+        return [("o1", before[-1], node), ("o2", before[-2], before[-1], node)]
 
     for t in texts:
         before = [None, None]
@@ -239,18 +240,22 @@ def test_language_model_scores_bit_by_bit():
             for node, bit in choices(word):
                 counted.update((*c, bit) for c in contexts(before, node))
             before.append(word if word in place else "rare")
+    plain = collections.Counter()
+    for s in range(coded + 1):
+        for k in range(code.first[s], code.first[s] + code.length[s]):
+            plain[int(code.node[k]), int(code.bit[k])] += int(symbols[s])
     stretch = lambda a, b: min(8, max(-8, math.log((b + 0.4) / (a + 0.4))))
     level = lambda x: (x > 0) + (x > 3)
     for t in texts:
         w, own, before, total, grad = weights.copy(), collections.Counter(), [None, None], 0.0, np.zeros_like(weights)
         for at, word in enumerate([*t.split(), b""]):
-            if at % lm.BLOCK == 0:
+            if at and lm.turn_of(at) != lm.turn_of(at - 1):
                 w, grad = w + grad, np.zeros_like(weights)
             for node, bit in choices(word):
                 pairs = [(counted[(*c, 0)], counted[(*c, 1)]) for c in contexts(before, node)]
                 mine = own[node, 0], own[node, 1]
-                x = np.array([round(stretch(*p) * 15) / 15 for p in pairs] + [stretch(*mine), 0.3])
-                gate = (level(sum(pairs[1])) * 3 + level(sum(pairs[2]))) * 3 + level(sum(mine))
+                x = np.array([round(stretch(*p) * 15) / 15 for p in pairs] + [stretch(plain[node, 0], plain[node, 1]), stretch(*mine), 0.3])
+                gate = (level(sum(pairs[0])) * 3 + level(sum(pairs[1]))) * 3 + level(sum(mine))
                 p = 1 / (1 + math.exp(-float(x @ w[gate])))
                 total += math.log(p if bit else 1 - p)
                 grad[gate] += 0.05 * (bit - p) * x
