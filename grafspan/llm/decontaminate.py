@@ -13,12 +13,16 @@
    A document leaks an item if that covers ``COVER`` of the item's words, or ``PART`` of them with
    ``ANSWER`` of its last quarter (where a question's answer stands), words counted by their weight.
 
-Items are a stated query set: they are taken in blocks of at most ``block`` items, each block
-against all documents. Everything sent to executors is bounded by a block's items.
-
-Defined cases: null and blank texts leak nothing, null and blank items are never leaked; repeated
-rows of documents give one row; items of equal text are each reported; a document shorter than
-a window is one window; empty tables give an empty result. Only doc_id, text, item_id are read.
+Items are a stated query set: they are taken in blocks of ``block`` characters of text, each block
+against all documents, so what is sent to executors is bounded by a block and its longest item, however long items are.
+Frequencies are counted in one scan for all blocks, up to ``VOCABULARY`` terms a scan.
+
+Defined cases: null and blank texts leak nothing, items of null or blank text are never leaked; an item with a null item_id
+is reported with a null; repeated rows of documents give one row, and so do rows without an id; items of equal text and
+different ids are each reported; very long texts are read whole, in all their windows; of windows with equal
+cover the larger cosine, then the longer subsequence is reported; a document shorter than
+a window is one window; empty tables give an empty result. Only the document's key, text and item_id are read, so extra columns
+of any name don't matter.
 """
 
 from __future__ import annotations
@@ -29,13 +33,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import words
+from .shared import Stage, draw, running_sum
 
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE, POWER = 256, 32, 2
 SHARE, COSINE, COVER, PART, ANSWER = 0.12, 0.45, 0.60, 0.45, 0.70
 BATCH_BYTES = 1 << 20
+VOCABULARY = 1 << 22
+_CHUNKS = 16
 
 
 def passages(h: np.ndarray) -> list[np.ndarray]:
@@ -95,7 +103,7 @@ def _rows(h_lists: list[np.ndarray], find: words.Lookup, idf: np.ndarray) -> tup
 
 
 def _product(vocab: np.ndarray, idf: np.ndarray, basis: np.ndarray, gram: bool):
-    """Row blocks A to A'(A basis), or (A basis)'(A basis), one output row for each row of that matrix."""
+    """Row blocks A to A'(A basis), or (A basis)'(A basis), in ranges of that matrix' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = words.Lookup(vocab)
@@ -110,9 +118,9 @@ def _product(vocab: np.ndarray, idf: np.ndarray, basis: np.ndarray, gram: bool):
                     out += y.T @ y
                 else:
                     np.add.at(out, t, v[:, None] * y[p])
-        at = np.flatnonzero(np.abs(out).sum(axis=1))
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(list(out[at]), pa.list_(pa.float64()))], ["row", "values"])
+        for i, part in enumerate(np.array_split(out, _CHUNKS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["chunk", "values"])
 
     return run
 
@@ -120,19 +128,32 @@ def _product(vocab: np.ndarray, idf: np.ndarray, basis: np.ndarray, gram: bool):
 def _summed(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """The sum of matrices whose rows the executors sent: (terms x rank) or (rank x rank) numbers."""
     out = np.zeros(shape)
-    sums = parts.select("row", F.posexplode("values").alias("at", "x")).groupBy("row", "at").agg(F.sum("x").alias("x"))
-    for r in sums.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("v")).collect():
-        out[r["row"]] = r["v"]
+    ranges = np.array_split(out, _CHUNKS)  # views
+    for r in parts.repartition(_CHUNKS, "chunk").mapInArrow(_added, PARTS).toLocalIterator():
+        ranges[r["chunk"]][:] = np.frombuffer(r["values"]).reshape(-1, shape[1])
     return out
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, v in zip(b.column("chunk").to_pylist(), b.column("values"), strict=True):
+            part = np.frombuffer(v.as_buffer())
+            sums[i] = sums[i] + part if i in sums else part
+    for i, v in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([v.tobytes()], pa.binary())], ["chunk", "values"])
+
+
+PARTS = "chunk long, values binary"
+
+
 def randomised_svd(items: DataFrame, vocab: np.ndarray, idf: np.ndarray, rank: int = RANK, seed: int = 8) -> np.ndarray:
     """(terms x rank): the leading right singular vectors of the items' passages."""
     wide = min(rank + OVERSAMPLE, len(vocab))
     basis = np.random.default_rng(seed).standard_normal((len(vocab), wide))
     for _ in range(POWER):
-        basis = np.linalg.qr(_summed(items.mapInArrow(_product(vocab, idf, basis, False), "row long, values array<double>"), (len(vocab), wide)))[0]
-    gram = _summed(items.mapInArrow(_product(vocab, idf, basis, True), "row long, values array<double>"), (basis.shape[1], basis.shape[1]))
+        basis = np.linalg.qr(_summed(items.mapInArrow(_product(vocab, idf, basis, False), PARTS), (len(vocab), wide)))[0]
+    gram = _summed(items.mapInArrow(_product(vocab, idf, basis, True), PARTS), (basis.shape[1], basis.shape[1]))
     value, vector = np.linalg.eigh(gram)
     keep = np.argsort(-value)[:rank]
     keep = keep[value[keep] > 1e-9 * max(value.max(), 1e-300)]
@@ -162,8 +183,8 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _search(vocab: np.ndarray, idf: np.ndarray, unknown: float, latent: np.ndarray, ids: list, items: list[np.ndarray]):
-    """Documents to (doc_id, item_id, cosine, lcs, item_words, cover, answer)."""
+def _search(kind: pa.DataType, vocab: np.ndarray, idf: np.ndarray, unknown: float, latent: np.ndarray, ids: list, items: list[np.ndarray]):
+    """Documents to (key, item_id, cosine, lcs, item_words, cover, answer); kind is the key's."""
     cut = [(i, x) for i, h in enumerate(items) for x in passages(h)]
     find = words.Lookup(vocab)
     p, t, v = _rows([x for _, x in cut], find, idf)
@@ -221,9 +242,9 @@ def _search(vocab: np.ndarray, idf: np.ndarray, unknown: float, latent: np.ndarr
                         best.setdefault(key, []).append((float(cosine[i, j]), int(begins[w[s + i]])))
                 for (d, item), spots in best.items():
                     if (leak := check(h, at[d], at[d + 1], spots, lists[item], weights[item])) is not None:
-                        found.append((b.column("doc_id")[first + d].as_py(), ids[item], *leak))
-            names = ["doc_id", "item_id", "cosine", "lcs", "item_words", "cover", "answer"]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                        found.append((b.column("key")[first + d].as_py(), ids[item], *leak))
+            names = ["key", "item_id", "cosine", "lcs", "item_words", "cover", "answer"]
+            kinds = [kind, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names)
 
     return run
@@ -247,32 +268,53 @@ def check(h: np.ndarray, low: int, high: int, spots: list, item: list[int], weig
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block: int = 2000) -> DataFrame:
-    """One row for each document and item that it leaks: doc_id, item_id, cosine, lcs, item_words, cover, answer."""
+def frequencies(docs: DataFrame, vocab: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many documents have each term, and how many there are."""
+    df, n = np.zeros(len(vocab), np.int64), 0
+    for at in range(0, len(vocab), VOCABULARY):
+        some = vocab[at : at + VOCABULARY]
+        for r in docs.select("text").mapInArrow(_frequencies(some), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+            if r["term"] < 0:
+                n = r["df"]
+            else:
+                df[at + r["term"]] = r["df"]
+    return df, n
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, block: int = 1 << 20, key: str = "doc_id", stage: Stage | None = None) -> DataFrame:
+    """One row for each document and item that it leaks: the document's key, item_id, cosine, lcs, item_words, cover, answer."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.lower("text").alias("text"))
-    items = benchmark.select("item_id", F.lower("text").alias("text")).where("text is not null and item_id is not null")
-    schema = "doc_id long, item_id long, cosine double, lcs long, item_words long, cover double, answer double"
-    blocks = max(1, -(-items.count() // block))
+    stage = stage or Stage(spark, "leaks")
+    docs = docs.select(F.col(key).alias("key"), F.lower("text").alias("text"))
+    kind = docs.schema["key"].dataType
+    schema = f"key {kind.simpleString()}, item_id long, cosine double, lcs long, item_words long, cover double, answer double"
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text")).where("text is not null").withColumn("_size", F.length("text"))
+    items = items.withColumn("_draw", draw(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.md5("text")))
+    items = running_sum(items, [], ["_draw", "item_id", "text"], "_size", "_upto", spread="_draw").withColumn("_block", F.floor((F.col("_upto") - F.col("_size")) / block))
+    items = stage.write(items.select("_block", "item_id", "text"), "items")
+    numbers = sorted(r["_block"] for r in items.select("_block").distinct().collect())
+
+    def read(number: int) -> tuple[list, list[np.ndarray]]:
+        """Ids and words of a block's items."""
+        rows = sorted(((r["item_id"], r["text"]) for r in items.where(F.col("_block") == number).collect()), key=lambda r: (r[0] is not None, r))
+        cut = [(i, words.hashed(*words.buffers(pa.array([t])), gaps=words.MARKS)[0]) for i, t in rows]
+        return [i for i, h in cut if len(h)], [h for _, h in cut if len(h)]
+
+    every = np.zeros(0, np.uint64)
+    for k in numbers:
+        every = np.union1d(every, np.concatenate([every, *read(k)[1]]))
+    if not len(every):
+        return spark.createDataFrame([], schema).withColumnRenamed("key", key)
+    df, n = frequencies(docs, every)
     out = None
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        rows = sorted((r["item_id"], r["text"]) for r in some.collect())
-        texts = [words.hashed(*words.buffers(pa.array([t])), gaps=words.MARKS)[0] for _, t in rows]
-        rows, texts = [r for r, h in zip(rows, texts, strict=True) if len(h)], [h for h in texts if len(h)]
-        if not rows:
+    for k in numbers:
+        ids, texts = read(k)
+        if not ids:
             continue
         vocab = np.unique(np.concatenate(texts))
-        df, n = np.zeros(len(vocab)), 0
-        for r in docs.select("text").mapInArrow(_frequencies(vocab), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-            if r["term"] < 0:
-                n = r["df"]
-            else:
-                df[r["term"]] = r["df"]
-        idf, unknown = weights_of(df, n)
-        latent = randomised_svd(some, vocab, idf)
-        hits = docs.mapInArrow(_search(vocab, idf, unknown, latent, [i for i, _ in rows], texts), schema)
+        idf, unknown = weights_of(df[np.searchsorted(every, vocab)], n)
+        latent = randomised_svd(items.where(F.col("_block") == k), vocab, idf)
+        hits = docs.mapInArrow(_search(to_arrow_type(kind), vocab, idf, unknown, latent, ids, texts), schema)
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("cosine", "lcs", "item_words", "cover", "answer"), F.struct("cover", "cosine", "lcs")).alias("b")).select("doc_id", "item_id", "b.*")
+    best = F.max_by(F.struct("cosine", "lcs", "item_words", "cover", "answer"), F.struct("cover", "cosine", "lcs")).alias("b")
+    return out.groupBy("key", "item_id").agg(best).select(F.col("key").alias(key), "item_id", "b.*")

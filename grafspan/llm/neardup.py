@@ -20,8 +20,8 @@ pruned (MISS at most, in each batch).
 Defined cases: a null or blank text has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; repeated rows are one class; rows with a null doc_id
 take part, and a component's id is its smallest known doc_id; an empty table gives an empty
-result. Names beginning with an underscore are used inside; extra columns of the input are not
-read.
+result. Very long texts are compared on all their shingles; of equal candidates the class of the smaller digest leads. Extra
+columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from . import words
 from .components import components
-from .shared import WORD, Stage, clear
+from .shared import WORD, Stage, packed
 
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
@@ -46,8 +46,6 @@ HASHES = BANDS * ROWS
 BATCH, MISS = 32, 1e-9
 _RNG = np.random.default_rng(20_240_503)
 _FLIP = _RNG.integers(0, 2**32, HASHES, dtype=np.uint32)
-#: The first 8 bytes of a class as a number, highest byte first, as _spread reads them.
-_OWNER = "cast(conv(hex(substring(cls, 1, 8)), 16, -10) as bigint)"
 _ODD = _RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -153,11 +151,11 @@ def _exact(k: int, percent: int):
 
 
 def _spread(k: int):
-    """Texts to (shingle, owner): owner is the first half of the class, a 64-bit number."""
+    """Texts to (shingle, owner), the class by its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owners = np.frombuffer(b"".join(x[:8] for x in b.column("cls").to_pylist()), ">i8").astype(np.int64)
+            owners = b.column("owner").to_numpy(zero_copy_only=False)
             part, mine = [], []
             for i, s in enumerate(words.sets(b.column("text"), k)):
                 part.append(s.view(np.int64))
@@ -191,7 +189,7 @@ def common_prefixes(apart: DataFrame, texts: DataFrame, k: int, percent: int) ->
     df = spread.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     shared = spread.join(df, "shingle").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
     # Shingles that no other class has come before all of these.
-    named = shared.join(apart.withColumn("owner", F.expr(_OWNER)), "owner")
+    named = shared.join(apart.join(texts.select("cls", "owner"), "cls"), "owner")
     alone = F.col("n") - F.size("s")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - alone
     rows = named.where(prefix > 0).select("cls", "n", "root", alone.alias("alone"), F.posexplode(F.transform(F.slice("s", F.lit(1), prefix.cast("int")), lambda x: x["shingle"])).alias("at", "shingle"))
@@ -217,13 +215,14 @@ def cluster(docs: DataFrame, k: int = 5, percent: int = 80, stage: Stage | None
     # One text of each class in a bucket with others: any row of its smallest doc_id whose set is that class.
     want = shared.select("cls").distinct().join(classes, "cls").select("cls", F.col("low").alias("_id"))
     rows = docs.join(want, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "text")
-    texts = stage.write(rows.mapInArrow(_same(k), "cls binary, text string").dropDuplicates(["cls"]), "texts")
+    texts = rows.mapInArrow(_same(k), "cls binary, text string").dropDuplicates(["cls"])
+    texts = stage.write(texts.withColumn("owner", F.monotonically_increasing_id()), "texts")  # unique in the table as written
 
     # Shingles that no other class has can't be common ones. With s others at most, a pair needs
     # min(s) >= percent * (n + n') / (100 + percent); a class with s < percent * n / 100 has no partner.
     single = texts.mapInArrow(_spread(k), "shingle long, owner long").groupBy("shingle").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo = hi")
     alone = stage.write(single.groupBy(F.col("lo").alias("owner")).agg(F.count("*").alias("alone")), "alone")
-    sizes = texts.select("cls").join(classes.select("cls", "n"), "cls").withColumn("owner", F.expr(_OWNER))
+    sizes = texts.select("cls", "owner").join(classes.select("cls", "n"), "cls")
     sizes = sizes.join(alone, "owner", "left").select("cls", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")).where(F.col("s") * 100 >= F.col("n") * percent)
     members = stage.write(shared.join(stage.write(sizes, "sizes"), "cls"), "members")
     stage.drop(shared)
@@ -262,12 +261,12 @@ def row_key() -> Column:
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, that of the smallest doc_id, and all rows without words."""
-    stage, docs = Stage(docs.sparkSession, "neardup"), clear(docs)
+    stage, docs = Stage(docs.sparkSession, "neardup"), packed(docs, "doc_id", "text")
     found = cluster(docs, k, percent, stage)
     first = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("f")).select(F.col("f.row").alias("_row"))
     keep = stage.write(first.distinct(), "keep")
     rows = docs.withColumn("_row", row_key()).join(keep, "_row").withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row"))).where("_nth = 1").select(*docs.columns)
-    return rows.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(WORD)))
+    return rows.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(WORD))).select("_doc.*")
 
 
 def _same(k: int):

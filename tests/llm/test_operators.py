@@ -346,12 +346,45 @@ def test_decontamination(spark, docs, empty):
         clean.append((3000 + i, f"{filler(40)} {' '.join(t.split()[:4])} {filler(40)}"))
     rows = spark.createDataFrame(leaky + clean + [(1, None), (2, ""), (1000, leaky[0][1])], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (2000, 10):
+    for block in (1 << 20, 2000):
         got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, bench, block=block).collect()}
         assert got == {(1000 + i, i) for i in range(25)} | {(2000 + i, i) for i in range(25)}
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_is_brute_force(spark):
+    """All windows of all documents against all items, by subsequence alone: nothing else is reported, and nothing much is missed."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    vocab = [f"term{i}" for i in range(900)]
+    items = [(i if i else None, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 70)))) for i in range(20)] + [(50, None)]
+    docs = []
+    for d in range(160):  # a share of an item's words is replaced, dropped or moved apart
+        words = items[d % 20][1].split()
+        share = (0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7, 0.9)[d // 20]
+        words = [f"{rng.choice(vocab)} plain{rng.randrange(99)}" if rng.random() < share else w for w in words]
+        text = [f"plain{rng.randrange(3000)}" if rng.random() < 0.8 else rng.choice(vocab) for _ in range(rng.randint(0, 90))]
+        at = rng.randint(0, len(text))
+        docs.append((d, " ".join(text[:at] + words + text[at:])))
+    extra = spark.createDataFrame([(*r, "clash") for r in docs], "doc_id long, text string, key string")
+    got = {(r["doc_id"], r["item_id"]): r["cover"] for r in decontaminate.leaks(extra, spark.createDataFrame(items, "item_id long, text string"), block=700).collect()}
+    hashed = lambda t: decontaminate.words.hashed(*decontaminate.words.buffers(pa.array([t])), gaps=decontaminate.words.MARKS)[0]
+    hashes, expected = {d: hashed(t) for d, t in docs}, {}
+    df = collections.Counter(x for h in hashes.values() for x in set(h.tolist()))
+    for i, t in items[:20]:
+        item = hashed(t)
+        weight = np.array([math.log((len(docs) + 1) / (df[x] + 1)) + 0.01 for x in item.tolist()])
+        for d, h in hashes.items():
+            spots = [(1.0, at) for at in range(0, len(h), decontaminate.STRIDE)]
+            if (leak := decontaminate.check(h, 0, len(h), spots, item.tolist(), weight)) is not None:
+                expected[d, i] = leak[3]
+    assert set(got) <= set(expected) and len(got) >= 0.95 * len(expected) and len(expected) > 80
+    assert all(got[x] == pytest.approx(expected[x], abs=0.15) for x in got)
+    assert {(d, i) for d in range(20) for i, _ in [items[d]]} <= set(got)  # whole items, the one without an id among them
+
+
 def test_decontamination_at_any_size():
     import numpy as np
     import pyarrow as pa
@@ -362,11 +395,11 @@ def test_decontamination_at_any_size():
     items = [hashed(t) for t in texts]
     vocab = np.unique(np.concatenate(items))
     docs = [f"{' '.join(f'plain{rng.randrange(9999)}' for _ in range(60))} {t} {' '.join(f'plain{rng.randrange(9999)}' for _ in range(60))}" for t in texts]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(40), pa.int64()), "text": docs})
+    batch = pa.RecordBatch.from_pydict({"key": pa.array(range(40), pa.int64()), "text": docs})
     for scale in (1, 1000):  # terms that a tenth of the documents have
         idf, unknown = decontaminate.weights_of(np.full(len(vocab), 1000.0 * scale), 10000 * scale)
-        run = decontaminate._search(vocab, idf, unknown, np.eye(len(vocab)), list(range(40)), items)
-        found = {(r["doc_id"], r["item_id"]) for out in run(iter([batch])) for r in out.to_pylist()}
+        run = decontaminate._search(pa.int64(), vocab, idf, unknown, np.eye(len(vocab)), list(range(40)), items)
+        found = {(r["key"], r["item_id"]) for out in run(iter([batch])) for r in out.to_pylist()}
         assert {(i, i) for i in range(40)} <= found
 
 
