@@ -40,7 +40,7 @@ class Index:
 
     def search(self, query: str, where: dict | None = None, limit: int = 10, offset: int = 0, detail: str = "normal", min_score: float = 0.0, dedup: bool = True) -> Result:
         """Symbols by lexical score; an explanation if there are none."""
-        hits = retrieval.run_lexical(self.graph, query, self._where(where), limit + 1, offset, dedup, self.text_index).where(F.col("score") >= min_score)
+        hits = retrieval.run_lexical(self.graph, query, self._where(where), limit + 1, offset, dedup, self.text_index, min_score)
         out = enveloped(projected(hits, detail, ["score"]).orderBy(F.desc("score"), "fqn", "id"), limit)
         return out if out.rows else analytics.diagnose(self.graph, query, where, self.vocabulary)
 

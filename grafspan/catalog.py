@@ -22,20 +22,41 @@ SYMBOL_SQL = """
 place AS (SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT * FROM customer JOIN place ON c_nationkey = n_nationkey),
 symbol AS (
-  SELECT 'region:' || r_regionkey AS id, 'package' AS kind, r_name AS name, r_name AS fqn, '' AS module, r_name AS microservice, '' AS role, '' AS parent_id, []::VARCHAR[] AS annotations FROM region
-  UNION ALL SELECT 'nation:' || n_nationkey, 'interface', n_name, r_name || '.' || n_name, '', r_name, 'CONFIG', 'region:' || n_regionkey, [] FROM place
+  SELECT 'region:' || r_regionkey AS id, 'package' AS kind, r_name AS name, r_name AS fqn, '' AS module, r_name AS microservice, '' AS role, '' AS parent_id, []::VARCHAR[] AS annotations, []::VARCHAR[] AS capabilities, []::VARCHAR[] AS modifiers, '' AS filename, 0::BIGINT AS start_line, 0::BIGINT AS end_line FROM region
+  UNION ALL SELECT 'nation:' || n_nationkey, 'interface', n_name, r_name || '.' || n_name, '', r_name, 'CONFIG', 'region:' || n_regionkey, [], [], [], '', 0, 0 FROM place
   UNION ALL SELECT 'customer:' || c_custkey, 'class', c_name, n_name || '.' || c_name, c_mktsegment, r_name,
-    CASE c_mktsegment WHEN 'BUILDING' THEN 'CONTROLLER' WHEN 'AUTOMOBILE' THEN 'SERVICE' WHEN 'MACHINERY' THEN 'COMPONENT' WHEN 'HOUSEHOLD' THEN 'REPOSITORY' WHEN 'FURNITURE' THEN 'CLIENT' ELSE 'OTHER' END, 'nation:' || c_nationkey, [] FROM cust
-  UNION ALL SELECT 'supplier:' || s_suppkey, 'class', s_name, n_name || '.' || s_name, 'SUPPLY', r_name, 'ENTITY', 'nation:' || s_nationkey, [] FROM supplier JOIN place ON s_nationkey = n_nationkey
-  UNION ALL SELECT 'order:' || o_orderkey, 'method', 'Order' || o_orderkey, n_name || '.' || c_name || '#Order' || o_orderkey, c_mktsegment, r_name, '', 'customer:' || o_custkey, [] FROM orders JOIN cust ON o_custkey = c_custkey
-  UNION ALL SELECT 'part:' || p_partkey, 'record', p_name, p_brand || '.' || p_name, p_brand, '', 'OTHER', '', [p_brand, p_type] FROM part),
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'CONTROLLER' WHEN 'AUTOMOBILE' THEN 'SERVICE' WHEN 'MACHINERY' THEN 'COMPONENT' WHEN 'HOUSEHOLD' THEN 'REPOSITORY' WHEN 'FURNITURE' THEN 'CLIENT' ELSE 'OTHER' END, 'nation:' || c_nationkey, [], [], [], '', 0, 0 FROM cust
+  UNION ALL SELECT 'supplier:' || s_suppkey, 'class', s_name, n_name || '.' || s_name, 'SUPPLY', r_name, 'ENTITY', 'nation:' || s_nationkey, [], [], [], '', 0, 0 FROM supplier JOIN place ON s_nationkey = n_nationkey
+  UNION ALL SELECT 'order:' || o_orderkey, 'method', 'Order' || o_orderkey, n_name || '.' || c_name || '#Order' || o_orderkey, c_mktsegment, r_name, '', 'customer:' || o_custkey, [], CASE WHEN o_orderkey % 11 = 0 THEN ['MESSAGE_LISTENER'] ELSE [] END, CASE WHEN o_orderstatus = 'F' THEN ['private'] ELSE [] END, 'src/c' || o_custkey || '.java', 1 + o_orderkey % 100 * 10, 10 + o_orderkey % 100 * 10
+    FROM orders JOIN cust ON o_custkey = c_custkey
+  UNION ALL SELECT 'part:' || p_partkey, 'record', p_name, p_brand || '.' || p_name, p_brand, '', 'OTHER', '', [p_brand, p_type], [p_type], [], '', 0, 0 FROM part),
 declares AS (
   SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
   UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
-calls AS (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_linenumber::BIGINT AS line, l_suppkey AS byte, round(1 - l_discount, 6) AS confidence, l_returnflag AS strategy FROM lineitem),
+calls AS (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_linenumber::BIGINT AS line, l_suppkey AS byte, round(1 - l_discount, 6) AS confidence, l_returnflag AS strategy FROM lineitem
+  UNION ALL SELECT 'order:' || o_orderkey, 'order:' || (o_orderkey // 3), 0, 0, 0.97, 'N' FROM orders WHERE o_orderkey % 2 = 0),
+overrides AS (SELECT 'order:' || o_orderkey AS src, 'order:' || (o_orderkey // 2) AS dst FROM orders WHERE o_orderkey % 4 = 0),
+extends AS (SELECT 'customer:' || c_custkey AS src, 'customer:' || (c_custkey // 10) AS dst FROM customer WHERE c_custkey >= 10),
+supp AS (SELECT s_suppkey AS k, s_name, n_name, r_name FROM supplier JOIN place ON s_nationkey = n_nationkey),
+route AS (
+  SELECT 'route:' || c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'http_endpoint' ELSE 'kafka_topic' END AS kind, CASE WHEN c_custkey % 5 > 0 THEN 'kafka' WHEN c_custkey % 2 = 0 THEN 'spring_mvc' ELSE 'webflux' END AS framework,
+    CASE WHEN c_custkey % 5 = 0 THEN 'GET' ELSE '' END AS method, CASE WHEN c_custkey % 5 = 0 THEN '/c/' || c_custkey ELSE '' END AS path, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 't' || c_custkey % 50 END AS topic, r_name AS microservice, c_mktsegment AS module
+  FROM cust WHERE c_custkey % 5 < 2),
+exposes AS (SELECT 'order:' || o_orderkey AS src, 'route:' || o_custkey AS dst FROM orders WHERE o_orderkey % 7 = 0 AND o_custkey % 5 < 2),
+client AS (
+  SELECT 'client:' || k AS id, CASE WHEN k % 2 = 0 THEN 'feign_method' ELSE 'rest_template' END AS client_kind, CASE WHEN k % 2 = 0 THEN r_name ELSE '' END AS target_service, '/c/' || (k * 5) AS path, 'GET' AS method, n_name || '.' || s_name AS member_fqn,
+    'order:' || k AS member_id, r_name AS microservice FROM supp),
+producer AS (SELECT 'producer:' || k AS id, 't' || k % 50 AS topic, n_name || '.' || s_name AS member_fqn, 'order:' || (k + 1) AS member_id, r_name AS microservice FROM supp WHERE k % 2 = 0),
+declares_client AS (SELECT 'order:' || k AS src, 'client:' || k AS dst FROM supp),
+declares_producer AS (SELECT 'order:' || (k + 1) AS src, 'producer:' || k AS dst FROM supp WHERE k % 2 = 0),
+http_calls AS (SELECT 'client:' || k AS src, 'route:' || (k * 5) AS dst, round(0.5 + k % 5 / 10, 6) AS confidence, ['cross_service', 'intra_service', 'ambiguous'][k % 3 + 1] AS match FROM supp),
+async_calls AS (SELECT 'producer:' || k AS src, 'route:' || (k * 5 + 1) AS dst, 0.75 AS confidence, ['cross_service', 'intra_service', 'ambiguous'][k % 3 + 1] AS match FROM supp WHERE k % 2 = 0),
+site AS (SELECT 'site:' || l_orderkey || ':' || l_suppkey AS id, 'order:' || l_orderkey AS caller_id, l_linenumber::BIGINT AS line, l_suppkey AS byte, 'p' || l_partkey % 10 AS callee_simple, l_returnflag AS reason FROM lineitem WHERE l_linenumber = 7),
 injects AS (SELECT DISTINCT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst FROM lineitem),
 implements AS (SELECT 'customer:' || c_custkey AS src, 'nation:' || c_nationkey AS dst FROM customer),
-edges AS (SELECT 'DECLARES' AS edge_type, src, dst FROM declares UNION ALL SELECT 'CALLS', src, dst FROM calls UNION ALL SELECT 'INJECTS', src, dst FROM injects UNION ALL SELECT 'IMPLEMENTS', src, dst FROM implements)
+edges AS (SELECT 'DECLARES' AS edge_type, src, dst FROM declares UNION ALL SELECT 'CALLS', src, dst FROM calls UNION ALL SELECT 'INJECTS', src, dst FROM injects UNION ALL SELECT 'IMPLEMENTS', src, dst FROM implements
+  UNION ALL SELECT 'OVERRIDES', src, dst FROM overrides UNION ALL SELECT 'EXTENDS', src, dst FROM extends UNION ALL SELECT 'EXPOSES', src, dst FROM exposes UNION ALL SELECT 'DECLARES_CLIENT', src, dst FROM declares_client
+  UNION ALL SELECT 'DECLARES_PRODUCER', src, dst FROM declares_producer UNION ALL SELECT 'HTTP_CALLS', src, dst FROM http_calls UNION ALL SELECT 'ASYNC_CALLS', src, dst FROM async_calls)
 """
 
 
@@ -82,12 +103,15 @@ def neighbors_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-hop AS (SELECT src, dst, line, byte, confidence FROM calls WHERE confidence >= 0.95 AND dst IN (SELECT id FROM symbol WHERE name = 'small ring'))
-SELECT src, dst, line AS call_site_line, byte AS call_site_byte, 1 AS depth, min(confidence) AS confidence FROM hop GROUP BY ALL ORDER BY 5, 1, 2, 3, 4 LIMIT 500
+e AS (SELECT src, dst, line, byte, confidence FROM calls WHERE confidence >= 0.95 AND src IN (SELECT id FROM symbol)),
+seed AS (SELECT id FROM symbol WHERE name = 'small ring' AND module IN ('Brand#3', 'Brand#7')),
+h1 AS (SELECT * FROM e WHERE dst IN (SELECT id FROM seed)),
+h2 AS (SELECT * FROM e WHERE dst IN (SELECT src FROM h1) AND dst NOT IN (SELECT id FROM seed))
+SELECT src, dst, line AS call_site_line, byte AS call_site_byte, min(d) AS depth, arg_min(confidence, d) AS confidence FROM (SELECT 1 AS d, * FROM h1 UNION ALL SELECT 2, * FROM h2) GROUP BY ALL ORDER BY 5, 1, 2, 3, 4 LIMIT 500
 """, graph=True)
 def callers_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = star.graph(spark, sf_dir)
-    seeds = g.symbol.where("name = 'small ring'").select("id")
+    seeds = g.symbol.where("name = 'small ring' and module in ('Brand#3', 'Brand#7')").select("id")
     return traversal.walk_calls(g, seeds, "callers", 2, limit=500, min_confidence=0.95).select("src", "dst", "call_site_line", "call_site_byte", "depth", "confidence")
 
 
@@ -133,7 +157,7 @@ def module_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.scope_counts(star.graph(spark, sf_dir), "module")
 
 
-@query("SELECT 'role' AS what, role AS value, count(*)::BIGINT AS n FROM symbol WHERE kind IN ('class', 'interface', 'record') GROUP BY role", graph=True)
+@query("SELECT 'role' AS what, role AS value, count(*)::BIGINT AS n FROM symbol WHERE kind IN ('class', 'interface', 'record') GROUP BY role UNION ALL SELECT 'framework', framework, count(*)::BIGINT FROM route GROUP BY framework", graph=True)
 def conventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.conventions(star.graph(spark, sf_dir))
 
@@ -264,11 +288,11 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {BM25_SQL},
 v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY d, vec_id) AS r FROM ({KNN_SQL})),
 b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY s DESC, doc_id) AS r FROM bm),
-f AS (SELECT id, sum(1 / (60 + r)) AS rrf, count(*)::BIGINT AS lists FROM (SELECT * FROM v UNION ALL SELECT * FROM b) GROUP BY id)
+f AS (SELECT id, sum(1 / (60 + r)) AS rrf, count(*)::BIGINT AS lists FROM (SELECT * FROM v UNION ALL SELECT * FROM b) WHERE r <= 1000 GROUP BY id)
 SELECT id, lists, round(rrf, 9) AS rrf, round(least(rrf / (2 / 61), 1), 6) AS score FROM f
 """)
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocal rank fusion of a vector list and a BM25 list over the same ids."""
+    """Reciprocal rank fusion of the first 1000 of a vector list and of a BM25 list over the same ids."""
     e = star.table(spark, sf_dir, "embeddings")
     q = e.where("vec_id = 0").first()["embedding"]
     near = e.select(F.col("vec_id").alias("id"), retrieval.l2(F.col("embedding"), F.array(*[F.lit(x) for x in q])).alias("o"))
@@ -403,12 +427,32 @@ def means_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-ids AS (SELECT id FROM symbol WHERE kind = 'record' AND module = 'Brand#3' AND list_contains(annotations, 'PROMO')),
-b AS (SELECT DISTINCT src AS id FROM calls WHERE dst IN (SELECT id FROM ids)),
-c AS (SELECT count(*) AS n FROM calls JOIN symbol s ON s.id = src JOIN ids ON ids.id = dst WHERE s.microservice <> '')
-SELECT (SELECT count(*) FROM b)::BIGINT AS blast, (SELECT n FROM c)::BIGINT AS cross_service, (SELECT count(*) FROM b)::BIGINT AS callers, round(least(0.4 * least((SELECT count(*) FROM b), 100) / 100 + 0.3 * least((SELECT n FROM c), 20) / 20 + least((SELECT count(*) FROM b), 5) / 5, 1.0), 6) AS score
+ids AS (SELECT * FROM symbol WHERE (kind = 'method' AND id IN ('order:14', 'order:20', 'order:35', 'order:40', 'order:70', 'order:77')) OR fqn IN ('ASIA.NATION_2', 'Brand#3.small ring')),
+need AS (SELECT id AS cid, CASE WHEN kind = 'method' AND contains(fqn, '#') THEN string_split(fqn, '#')[1] ELSE fqn END AS needle FROM ids),
+target AS (SELECT DISTINCT cid, s.id FROM need JOIN symbol s ON s.fqn = needle OR s.name = needle),
+dep AS (SELECT src, dst FROM edges WHERE edge_type IN ('INJECTS', 'IMPLEMENTS', 'EXTENDS')),
+b1 AS (SELECT DISTINCT cid, src AS id FROM dep JOIN target ON dst = target.id),
+b2 AS (SELECT DISTINCT cid, src AS id FROM dep JOIN b1 ON dst = b1.id),
+blast AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM (SELECT cid, id FROM b1 UNION ALL SELECT cid, id FROM b2)) JOIN symbol USING (id)),
+seed AS (SELECT cid, m.id FROM (SELECT id AS cid, fqn FROM ids) JOIN symbol m USING (fqn) WHERE m.kind = 'method'
+         UNION SELECT cid, m.id FROM (SELECT i.id AS cid, t.id AS tid FROM ids i JOIN symbol t USING (fqn) WHERE t.kind <> 'method') JOIN symbol m ON m.parent_id = tid WHERE m.kind = 'method'),
+c1 AS (SELECT cid, src, dst, line, byte FROM calls JOIN seed ON dst = seed.id),
+c2 AS (SELECT DISTINCT f.cid, calls.src, calls.dst, line, byte FROM calls JOIN (SELECT DISTINCT cid, src FROM c1 EXCEPT SELECT cid, id FROM seed) f ON calls.dst = f.src),
+crossed AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)) e JOIN symbol a ON a.id = e.src JOIN symbol b ON b.id = e.dst WHERE a.microservice <> '' AND b.microservice <> '' AND a.microservice <> b.microservice),
+face AS (SELECT count(*) AS n FROM ids JOIN symbol t ON t.fqn = string_split(ids.fqn, '#')[1] AND t.kind = 'interface' WHERE ids.kind = 'method' AND NOT list_contains(ids.modifiers, 'private')),
+shown AS (SELECT DISTINCT src, dst FROM exposes JOIN ids ON src = ids.id),
+labels AS (SELECT count(DISTINCT CASE WHEN method || path <> '' THEN trim(method || ' ' || path) ELSE 'topic:' || topic END) AS n FROM shown JOIN route ON dst = route.id),
+across AS (SELECT (SELECT count(*) FROM shown JOIN http_calls h ON h.dst = shown.dst AND h.match = 'cross_service' JOIN declares_client d ON d.dst = h.src) + (SELECT count(*) FROM shown JOIN async_calls h ON h.dst = shown.dst AND h.match = 'cross_service' JOIN declares_producer d ON d.dst = h.src) AS n),
+f AS (SELECT blast.n AS blast, crossed.n AS cross_service, least(face.n, 1) AS interface, labels.n AS routes, across.n AS route_callers FROM blast, crossed, face, labels, across)
+SELECT blast::BIGINT AS blast, cross_service::BIGINT AS cross_service, interface::BIGINT AS interface, routes::BIGINT AS routes, route_callers::BIGINT AS route_callers, score, CASE WHEN score < 0.3 THEN 'low' WHEN score < 0.7 THEN 'medium' ELSE 'high' END AS band
+FROM (SELECT *, round(least(0.4 * least(blast, 100) / 100 + 0.3 * least(cross_service, 20) / 20 + 0.2 * interface + 0.1 * least(routes, 5) / 5 + least(route_callers, 5) / 5, 1.0), 6) AS score FROM f)
 """, graph=True)
 def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some methods, an interface and a type as a change."""
     g = star.graph(spark, sf_dir)
-    changed = g.symbol.where(NodeFilter(symbol_kind="record", module="Brand#3", annotation="PROMO").column())
-    return analytics.risk(g, changed).select("blast", "cross_service", "callers", F.round("score", 6).alias("score"))
+    methods = F.col("id").isin("order:14", "order:20", "order:35", "order:40", "order:70", "order:77")
+    out = analytics.risk(g, g.symbol.where(methods | F.col("fqn").isin("ASIA.NATION_2", "Brand#3.small ring")))
+    return out.withColumn("score", F.round("score", 6))
+
+
+from . import catalog_graph  # noqa: E402, F401  (registers its queries here)

@@ -96,6 +96,12 @@ def rrf_max(lists: int, k: int = V.RRF_K) -> float:
     return lists / (k + 1)
 
 
+def is_jvm(language: Column, filename: Column) -> Column:
+    """Java and Kotlin rows, by language if that is known, else by the file's name: roles and names weigh for these alone."""
+    known = F.lower(F.coalesce(language, F.lit("")))
+    return F.when(known != "", known.isin("java", "kotlin")).otherwise(F.lower(F.coalesce(filename, F.lit(""))).rlike(r"\.(java|kt|kts)$"))
+
+
 def role_weight(role: Column, locked: bool = False) -> Column:
     """The weight of a role; none for unknown roles, or if the caller asked for one role."""
     if locked:

@@ -81,7 +81,7 @@ def resolved(g: CodeGraph, identifier: str, kind: str | None = None, most: int =
     if "*" in identifier or "?" in identifier:
         raise ValueError("wildcards are not identifiers; use find")
     found = candidates(g, identifier, **scope)
-    return ranking.ranked_candidates(found.where(F.col("node_kind") == kind) if kind else found).orderBy("place").limit(most)
+    return ranking.ranked_candidates(found.where(F.col("node_kind") == kind) if kind else found, most=most).orderBy("place")
 
 
 @dataclass
@@ -182,19 +182,53 @@ def changed_symbols(g: CodeGraph, hunks: DataFrame) -> DataFrame:
     return hit.select(F.col("s.id"), "change", rank.alias("_r"), F.sequence(lo, hi).alias("_l")).groupBy("id").agg(F.min_by("change", "_r").alias("change"), lines.alias("lines"))
 
 
-def risk(g: CodeGraph, changed: DataFrame, depth: int = 2) -> DataFrame:
-    """One row: blast, cross_service, interface, routes, callers, score, band."""
-    ids = changed.select("id").distinct()
-    callers = g.edge("CALLS").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"), "dst")
-    service = g.symbol.select("id", "microservice")
-    blast = traversal.reach(traversal.directed(g.edge("CALLS"), "in"), ids, depth)
-    across = callers.join(service, "id").join(service.select(F.col("id").alias("dst"), F.col("microservice").alias("_own")), "dst").where("microservice <> _own")
-    public = g.symbol.join(ids, "id", "left_semi").where(~F.array_contains("modifiers", "private")).join(g.symbol.where("kind = 'interface'").select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-    routes = g.edge("EXPOSES").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("dst").distinct()
+def risk(g: CodeGraph, changed: DataFrame) -> DataFrame:
+    """One row: blast, cross_service, interface, routes, route_callers, score, band.
+
+    blast: over all changed symbols, how many depend on each (on the type, for a member) within two edges of INJECTS, IMPLEMENTS and EXTENDS.
+    cross_service: call edges within two hops that lead to a changed symbol from another service. interface: whether a method of an interface that isn't
+    private is among them. routes: different ones that changed symbols expose. route_callers: calls of these routes from other services.
+    """
+    ids = g.symbol.join(changed.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("cid"), "fqn", "kind", "modifiers")
+    owner = F.substring_index("fqn", "#", 1)
+    needles = ids.select("cid", F.when(F.col("kind").isin("method", "field", "constructor"), owner).otherwise(F.col("fqn")).alias("needle"))
+    named = lambda column: needles.join(g.symbol.select("id", F.col(column).alias("needle")), "needle").select("cid", "id")
+    front, blast = named("fqn").unionByName(named("name")).distinct(), None
+    dependents = g.all_edges(("INJECTS", "IMPLEMENTS", "EXTENDS")).select("src", F.col("dst").alias("id"))
+    for _ in range(2):
+        front = dependents.join(front, "id").select("cid", F.col("src").alias("id")).distinct()
+        blast = front if blast is None else blast.unionByName(front)
+    blast = blast.distinct().join(g.symbol.select("id"), "id", "left_semi")
+
+    members = g.symbol.where(F.col("kind").isin("method", "constructor"))
+    types = g.symbol.where(~F.col("kind").isin("method", "constructor", "file", "package")).select("fqn", F.col("id").alias("parent_id"))
+    own = ids.select("cid", "fqn").join(members.select("fqn", "id"), "fqn").select("cid", "id")
+    inside = ids.select("cid", "fqn").join(types, "fqn").join(members.select("parent_id", "id"), "parent_id").select("cid", "id")
+    seeds = own.unionByName(inside).distinct()
+    calls = g.edge("CALLS").select("src", "dst", "call_site_line", "call_site_byte")
+    first = calls.join(seeds.withColumnRenamed("id", "dst"), "dst").select("cid", *calls.columns)
+    again = first.select("cid", F.col("src").alias("dst")).distinct().join(seeds.withColumnRenamed("id", "dst"), ["cid", "dst"], "left_anti")
+    edges = first.unionByName(calls.join(again, "dst").select("cid", *calls.columns)).distinct()
+    service = lambda end: g.symbol.where("microservice <> ''").select(F.col("id").alias(end), F.col("microservice").alias(f"_{end}"))
+    across = edges.join(service("src"), "src").join(service("dst"), "dst").where("_src <> _dst")
+
+    faces = g.symbol.where("kind = 'interface'").select(F.col("fqn").alias("_type"))
+    public = ids.where((F.col("kind") == "method") & ~F.array_contains("modifiers", "private")).withColumn("_type", owner).join(faces, "_type", "left_semi")
+    shown = g.edge("EXPOSES").select(F.col("src").alias("cid"), "dst").distinct().join(ids, "cid", "left_semi")
+    label = F.trim(F.concat_ws(" ", "method", "path_template"))
+    labels = g.route.join(shown.select(F.col("dst").alias("id")), "id", "left_semi").select(F.when(label != "", label).otherwise(F.concat(F.lit("topic:"), F.col("topic"))).alias("label")).distinct()
+
+    def remote(edge: str, declares: str) -> DataFrame:
+        call = g.edge(edge).where("match = 'cross_service'").select(F.col("src").alias("_end"), "dst")
+        return shown.join(call, "dst").join(g.edge(declares).select(F.col("dst").alias("_end")), "_end").select("_end")
+
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    row = one(blast, "blast").crossJoin(one(across, "cross_service")).crossJoin(one(public.limit(1), "interface")).crossJoin(one(routes, "routes")).crossJoin(one(callers.select("id").distinct(), "callers"))
+    parts = one(blast, "blast"), one(across, "cross_service"), one(public.limit(1), "interface"), one(labels, "routes"), one(remote("HTTP_CALLS", "DECLARES_CLIENT").unionByName(remote("ASYNC_CALLS", "DECLARES_PRODUCER")), "route_callers")
+    row = parts[0]
+    for p in parts[1:]:  # of one row each
+        row = row.crossJoin(p)
     part = lambda c, k: V.RISK[k][0] * F.least(F.col(c), F.lit(V.RISK[k][1])) / V.RISK[k][1]
-    score = part("blast", "blast") + part("cross_service", "cross") + part("interface", "interface") + part("routes", "routes") + F.least(F.col("callers"), F.lit(5)) / 5
+    score = part("blast", "blast") + part("cross_service", "cross") + part("interface", "interface") + part("routes", "routes") + F.least(F.col("route_callers"), F.lit(5)) / 5
     out = row.withColumn("score", F.least(score, F.lit(1.0)))
     return out.withColumn("band", F.when(F.col("score") < 0.3, "low").when(F.col("score") < 0.7, "medium").otherwise("high"))
 

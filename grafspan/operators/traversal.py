@@ -1,21 +1,22 @@
-"""Traversals as a bounded number of joins. Frontiers are distinct at each level and written between levels when asked for."""
+"""Traversals as joins, one for a level. Frontiers are distinct, written at each level, and a walk ends when one is empty."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import shared_dir
 from ..functions import text as X
 from ..graph import CodeGraph
 from .lookups import clamp, page
 
-DEEPEST = 8
-
-
 def _cut(df: DataFrame) -> DataFrame:
-    """Ends lineage in the folder that the cluster names; without one the plan goes on growing (depth is small)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Ends lineage in the folder that all executors share."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -33,10 +34,12 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     front = seen
-    for level in range(1, min(depth, DEEPEST) + 1):
+    for level in range(1, depth + 1):
         step = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         front = _cut(step.join(seen, "id", "left_anti").withColumn("depth", F.lit(level)))
         seen = seen.unionByName(front)
+        if level < depth and front.isEmpty():
+            break
     return seen.where("depth > 0")
 
 
@@ -72,7 +75,7 @@ def method_ids(g: CodeGraph, needle: str, limit: int = 50) -> DataFrame:
     third = members.where(F.col("name") == needle).withColumn("_r", F.lit(3))
     cols = ["id", "fqn", "_r"]
     every = first.select(cols).unionByName(again.select(cols)).unionByName(second.select(cols)).unionByName(third.select(cols))
-    best = every.withColumn("_best", F.min("_r").over(Window.partitionBy())).where("_r = _best").select("id", "fqn").distinct()
+    best = every.join(F.broadcast(every.agg(F.min("_r").alias("_r"))), "_r", "left_semi").select("id", "fqn").distinct()  # of one row
     return page(best, ["fqn", "id"], clamp(limit))
 
 
@@ -93,11 +96,13 @@ def walk_calls(g: CodeGraph, seeds: DataFrame, side: str = "callers", depth: int
     e = e.drop("_fqn", "_m", "_s")
     key = ["src", "dst", "call_site_line", "call_site_byte"]
     front, walked, seen = seeds.select("id").distinct(), None, seeds.select("id").distinct()
-    for level in range(1, min(depth, DEEPEST) + 1):
+    for level in range(1, depth + 1):
         step = _cut(e.join(front.select(F.col("id").alias(at)), at, "left_semi").withColumn("depth", F.lit(level)))
         walked = step if walked is None else walked.unionByName(step)
         front = _cut(step.select(F.col(other).alias("id")).distinct().join(seen, "id", "left_anti"))
         seen = seen.unionByName(front)
+        if level < depth and front.isEmpty():
+            break
     first = walked.groupBy(*key).agg(F.min(F.struct("depth", "confidence", "strategy")).alias("f")).select(*key, "f.depth", "f.confidence", "f.strategy")
     return page(first, ["depth", *key], clamp(limit))
 
@@ -115,12 +120,14 @@ def bottleneck(edges: DataFrame, seeds: DataFrame, depth: int, min_confidence: f
 
     The frontier is replaced at each hop and nothing is marked as seen, so longer but stronger walks count.
     """
-    e = edges.where(F.col("confidence") >= min_confidence).groupBy("src", "dst").agg(F.max("confidence").alias("confidence"))
+    e = edges.where(F.col("confidence") >= min_confidence).select("src", "dst", "confidence")
     front, out = seeds.select("id").distinct().withColumn("score", F.lit(1.0)), None
-    for hop in range(1, min(depth, DEEPEST) + 1):
+    for hop in range(1, depth + 1):
         front = _cut(e.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max(F.least("score", "confidence")).alias("score")))
         one = front.withColumn("hops", F.lit(hop))
         out = one if out is None else out.unionByName(one)
+        if hop < depth and front.isEmpty():
+            break
     best = out.groupBy("id").agg(F.max("score").alias("score"), F.min("hops").alias("hops"))
     return best.join(seeds.select("id").distinct(), "id", "left_anti")
 
@@ -144,7 +151,7 @@ STAGES = (("entry", ("CONTROLLER",)), ("service", ("SERVICE", "COMPONENT")), ("d
 def trace_flow(g: CodeGraph, seed_fqns: list[str], depth: int = 2, stage_limit: int = 20, follow_calls: bool = True, min_call_confidence: float = 0.0, exclude_external: bool = True) -> DataFrame:
     """Role by role from the seeds: stage, id, fqn, role, hops, via (up to four edges that led there).
 
-    A stage is reached from all nodes before it by up to depth hops, over structural edges first, then
+    A stage is reached from all nodes before it by one to three hops, as depth says, over structural edges first, then
     calls within a service, then HTTP and asynchronous calls between services. A node is visited once.
     """
     calls = g.edge("CALLS").where(F.col("confidence") >= min_call_confidence)
@@ -171,6 +178,8 @@ def trace_flow(g: CodeGraph, seed_fqns: list[str], depth: int = 2, stage_limit:
             step = _cut(step.join(out.select("id"), "id", "left_anti").withColumn("hops", F.lit(hop)))
             met = step if met is None else met.unionByName(step.join(met.select("id"), "id", "left_anti"))
             front = step.select(F.col("id").alias("src"))
+            if hop < depth and front.isEmpty():
+                break
         met = met.join(names.where(F.col("role").isin(*roles)), "id")
         via = F.transform("_v", lambda x: F.concat_ws(":", x["via"], x["src"]))
         met = page(met.select("id", "fqn", "role", F.lit(stage).alias("stage"), "hops", via.alias("via"), F.get("_v", F.lit(0))["_p"].alias("_p")), ["hops", "_p", "fqn", "id"], stage_limit).drop("_p")
@@ -211,11 +220,13 @@ def request_flow(g: CodeGraph, route_id: str, max_hops: int = 3) -> DataFrame:
     return rows.join(name, "id", "left").select("direction", "id", "fqn", "depth", "confidence").orderBy("direction", "depth", F.desc("confidence"), "id")
 
 
-def ancestors(supers: DataFrame, depth: int = DEEPEST) -> DataFrame:
-    """(sub, super, hops): the closure of a direct supertype relation (src, dst), at least distances."""
+def ancestors(supers: DataFrame, depth: int | None = None) -> DataFrame:
+    """(sub, super, hops): the closure of a direct supertype relation (src, dst), at least distances; up to a depth, if there is one."""
     pairs = supers.select(F.col("src").alias("sub"), F.col("dst").alias("super")).distinct().withColumn("hops", F.lit(1))
     front = pairs
-    for hop in range(2, min(depth, DEEPEST) + 1):
+    for hop in count(2):
+        if (depth and hop > depth) or front.isEmpty():
+            break
         step = front.alias("f").join(supers.alias("e"), F.col("f.super") == F.col("e.src")).select(F.col("f.sub").alias("sub"), F.col("e.dst").alias("super")).distinct()
         front = _cut(step.join(pairs, ["sub", "super"], "left_anti").withColumn("hops", F.lit(hop)))
         pairs = pairs.unionByName(front)

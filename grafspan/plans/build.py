@@ -6,7 +6,6 @@ with a priority; nothing but the parser runs in Python.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import shared_dir
 from .. import vocabulary as V
 from ..config import Overrides
 from ..functions import keys as K
@@ -45,11 +45,8 @@ class Work:
     """
 
     def __init__(self, spark: SparkSession):
-        sc = spark.sparkContext
-        if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="grafspan-"))
         self.spark, self.n = spark, 0
-        self.at = f"{(sc.getConf().get('spark.checkpoint.dir') or sc.getCheckpointDir()).rstrip('/')}/build-{uuid.uuid4().hex}"
+        self.at = f"{shared_dir(spark)}/build-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -214,7 +211,7 @@ def resolve_calls(units: DataFrame, types: DataFrame, members: DataFrame, fields
     implicit = bare.isin("", "this")
     # Variables: fields (of supertypes too) before parameters before locals.
     scope = units.select("filename", F.explode("scope").alias("s")).select("s.*")
-    chain = traversal.ancestors(sup_edges.select("src", "dst").join(types.select(F.col("id").alias("src"), F.col("fqn").alias("_s")), "src").join(types.select(F.col("id").alias("dst"), F.col("fqn").alias("_d")), "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst")), 6)
+    chain = traversal.ancestors(sup_edges.select("src", "dst").join(types.select(F.col("id").alias("src"), F.col("fqn").alias("_s")), "src").join(types.select(F.col("id").alias("dst"), F.col("fqn").alias("_d")), "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst")))
     lines = types.select(F.col("fqn").alias("host"), F.col("fqn").alias("super"), F.lit(0).alias("hops")).unionByName(chain.select(F.col("sub").alias("host"), "super", "hops"))
     by_field = c.where(simple & ~implicit).join(lines, "host").join(fields.select(F.col("type_fqn").alias("super"), F.col("name").alias("receiver"), F.col("type").alias("_type")), ["super", "receiver"]).select("site", "_type", (F.lit(10) + F.col("hops")).alias("_r"))
     by_scope = c.where(simple).join(scope.select(F.col("member_fqn").alias("caller_fqn"), F.col("name").alias("receiver"), F.col("type").alias("_type"), F.col("rank").alias("_k"), F.col("ordinal").alias("_o")), ["caller_fqn", "receiver"]).select("site", "_type", (F.lit(9) - 4 * F.col("_k") - F.col("_o") / 1000).alias("_r"))

@@ -1,5 +1,7 @@
 """Operators on small literal inputs with hand-computed results."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,7 +134,48 @@ def test_summaries_and_resolution(diamond):
     changed = analytics.changed_symbols(g, hunks)
     assert changed.count() == 9 and changed.first()["lines"] == [1, 2, 3]
     risk = analytics.risk(g, g.symbol.where("id = 'd1'")).first()
-    assert (risk["blast"], risk["callers"], risk["cross_service"]) == (3, 2, 2)
+    # B and A depend on D; two calls of d1 come from another service.
+    assert (risk["blast"], risk["cross_service"], risk["interface"], risk["routes"], risk["route_callers"], risk["band"]) == (2, 2, 0, 0, 0, "low")
+    assert risk["score"] == pytest.approx(0.4 * 2 / 100 + 0.3 * 2 / 20)
+
+
+@pytest.mark.parametrize(("calls", "score"), [(0, 0.02), (1, 0.22), (6, 1.0)])
+def test_risk_of_a_route_with_callers_elsewhere(spark, diamond, calls, score):
+    """One call from another service adds 0.2; the sum stops at 1."""
+    g = diamond
+    ends = [(f"c:{i}", "r1", "cross_service") for i in range(calls)] + [("c:9", "r1", "intra_service")]
+    g = g.with_edges(HTTP_CALLS=spark.createDataFrame(ends, "src string, dst string, match string"), DECLARES_CLIENT=spark.createDataFrame([("d1", f"c:{i}") for i in range(10)], "src string, dst string"))
+    g = replace(g, symbol=g.symbol.where("id = 'a1'"))  # nothing else depends on it
+    risk = analytics.risk(g, g.symbol).first()
+    assert risk["route_callers"] == calls and risk["routes"] == 1 and risk["score"] == pytest.approx(score)
+
+
+def test_walks_have_no_deepest_level(spark):
+    from grafspan.operators import traversal
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 0.9) for i in range(14)], "src string, dst string, confidence double")
+    seeds = spark.createDataFrame([("n0",)], "id string")
+    assert {r["id"]: r["depth"] for r in traversal.reach(chain, seeds, 12).collect()} == {f"n{i}": i for i in range(1, 13)}
+    assert traversal.reach(chain, seeds, 40).count() == 14 and traversal.bottleneck(chain, seeds, 11).count() == 11
+    assert traversal.ancestors(chain).count() == 14 * 15 // 2 and traversal.ancestors(chain, 2).count() == 14 + 13
+
+
+def test_knn_join_takes_blocks(spark):
+    from grafspan.operators import retrieval
+
+    v = spark.range(300).select(F.col("id"), F.array(*[F.sin(F.col("id") * k) for k in range(1, 5)]).alias("embedding"))
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    rows = lambda most: sorted((r["query_id"], r["rank"], r["id"]) for r in retrieval.knn_join(v, q, 3, most=most).collect())
+    assert rows(50) == rows(1000) and len(rows(50)) == 900
+
+
+def test_first_of_each_with_a_hot_key(spark):
+    from grafspan.operators import ranking
+
+    df = spark.range(5000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.col("id"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("o"))
+    got = {r["k"]: (r["id"], r["collapsed"]) for r in ranking.first_of_each(df, "k", [F.desc("o"), "id"]).collect()}
+    rows = [tuple(r) for r in df.collect()]
+    assert len(got) == 501 and got[-1] == (min((-o, i) for k, i, o in rows if k == -1)[1], 4499) and got[20] == (20, 0)
 
 
 @pytest.mark.parametrize(("call", "outcome"), [
