@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 SYMBOL_SQL = """
 place AS (SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT * FROM customer JOIN place ON c_nationkey = n_nationkey),
-symbol AS (
+symbol AS MATERIALIZED (
   SELECT 'region:' || r_regionkey AS id, 'package' AS kind, r_name AS name, r_name AS fqn, '' AS module, r_name AS microservice, '' AS role, '' AS parent_id, []::VARCHAR[] AS annotations, []::VARCHAR[] AS capabilities, []::VARCHAR[] AS modifiers, '' AS filename, 0::BIGINT AS start_line, 0::BIGINT AS end_line FROM region
   UNION ALL SELECT 'nation:' || n_nationkey, 'interface', n_name, r_name || '.' || n_name, '', r_name, 'CONFIG', 'region:' || n_regionkey, [], [], [], '', 0, 0 FROM place
   UNION ALL SELECT 'customer:' || c_custkey, 'class', c_name, n_name || '.' || c_name, c_mktsegment, r_name,
@@ -33,7 +33,7 @@ symbol AS (
 declares AS (
   SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer
   UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders),
-calls AS (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_linenumber::BIGINT AS line, l_suppkey AS byte, round(1 - l_discount, 6) AS confidence, l_returnflag AS strategy FROM lineitem
+calls AS MATERIALIZED (SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, l_linenumber::BIGINT AS line, l_suppkey AS byte, round(1 - l_discount, 6) AS confidence, l_returnflag AS strategy FROM lineitem
   UNION ALL SELECT 'order:' || o_orderkey, 'order:' || (o_orderkey // 3), 0, 0, 0.97, 'N' FROM orders WHERE o_orderkey % 2 = 0),
 overrides AS (SELECT 'order:' || o_orderkey AS src, 'order:' || (o_orderkey // 2) AS dst FROM orders WHERE o_orderkey % 4 = 0),
 extends AS (SELECT 'customer:' || c_custkey AS src, 'customer:' || (c_custkey // 10) AS dst FROM customer WHERE c_custkey >= 10),
@@ -427,9 +427,9 @@ def means_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-ids AS (SELECT * FROM symbol WHERE (kind = 'method' AND id IN ('order:14', 'order:20', 'order:35', 'order:40', 'order:70', 'order:77')) OR fqn IN ('ASIA.NATION_2', 'Brand#3.small ring')),
+ids AS (SELECT * FROM symbol WHERE parent_id = 'customer:60' OR fqn = 'Brand#3.small ring'),
 need AS (SELECT id AS cid, CASE WHEN kind = 'method' AND contains(fqn, '#') THEN string_split(fqn, '#')[1] ELSE fqn END AS needle FROM ids),
-target AS (SELECT DISTINCT cid, s.id FROM need JOIN symbol s ON s.fqn = needle OR s.name = needle),
+target AS (SELECT cid, s.id FROM need JOIN symbol s ON s.fqn = needle UNION SELECT cid, s.id FROM need JOIN symbol s ON s.name = needle),
 dep AS (SELECT src, dst FROM edges WHERE edge_type IN ('INJECTS', 'IMPLEMENTS', 'EXTENDS')),
 b1 AS (SELECT DISTINCT cid, src AS id FROM dep JOIN target ON dst = target.id),
 b2 AS (SELECT DISTINCT cid, src AS id FROM dep JOIN b1 ON dst = b1.id),
@@ -438,7 +438,7 @@ seed AS (SELECT cid, m.id FROM (SELECT id AS cid, fqn FROM ids) JOIN symbol m US
          UNION SELECT cid, m.id FROM (SELECT i.id AS cid, t.id AS tid FROM ids i JOIN symbol t USING (fqn) WHERE t.kind <> 'method') JOIN symbol m ON m.parent_id = tid WHERE m.kind = 'method'),
 c1 AS (SELECT cid, src, dst, line, byte FROM calls JOIN seed ON dst = seed.id),
 c2 AS (SELECT DISTINCT f.cid, calls.src, calls.dst, line, byte FROM calls JOIN (SELECT DISTINCT cid, src FROM c1 EXCEPT SELECT cid, id FROM seed) f ON calls.dst = f.src),
-crossed AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)) e JOIN symbol a ON a.id = e.src JOIN symbol b ON b.id = e.dst WHERE a.microservice <> '' AND b.microservice <> '' AND a.microservice <> b.microservice),
+crossed AS (SELECT count(*) FILTER (a.microservice <> '' AND b.microservice <> '' AND a.microservice <> b.microservice) AS n FROM (SELECT DISTINCT * FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)) e JOIN symbol a ON a.id = e.src JOIN symbol b ON b.id = e.dst),
 face AS (SELECT count(*) AS n FROM ids JOIN symbol t ON t.fqn = string_split(ids.fqn, '#')[1] AND t.kind = 'interface' WHERE ids.kind = 'method' AND NOT list_contains(ids.modifiers, 'private')),
 shown AS (SELECT DISTINCT src, dst FROM exposes JOIN ids ON src = ids.id),
 labels AS (SELECT count(DISTINCT CASE WHEN method || path <> '' THEN trim(method || ' ' || path) ELSE 'topic:' || topic END) AS n FROM shown JOIN route ON dst = route.id),
@@ -448,10 +448,9 @@ SELECT blast::BIGINT AS blast, cross_service::BIGINT AS cross_service, interface
 FROM (SELECT *, round(least(0.4 * least(blast, 100) / 100 + 0.3 * least(cross_service, 20) / 20 + 0.2 * interface + 0.1 * least(routes, 5) / 5 + least(route_callers, 5) / 5, 1.0), 6) AS score FROM f)
 """, graph=True)
 def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some methods, an interface and a type as a change."""
+    """The methods of one type, and another type, as a change."""
     g = star.graph(spark, sf_dir)
-    methods = F.col("id").isin("order:14", "order:20", "order:35", "order:40", "order:70", "order:77")
-    out = analytics.risk(g, g.symbol.where(methods | F.col("fqn").isin("ASIA.NATION_2", "Brand#3.small ring")))
+    out = analytics.risk(g, g.symbol.where("parent_id = 'customer:60' or fqn = 'Brand#3.small ring'"))
     return out.withColumn("score", F.round("score", 6))
 
 
