@@ -4,12 +4,13 @@
 2. Benchmark items are cut into passages. A randomised SVD of their TF-IDF matrix gives a latent
    space: partial products of row blocks are made on the executors and summed by Spark; only
    matrices of (terms x rank) meet on the driver.
-3. Every document is read in half-overlapping windows. A window with ``SHARE`` of its squared TF-IDF
+3. What a document can cover of an item is bounded by the weight of the item's words that it has anywhere; documents and
+   items with less than ``PART`` are out, exactly. Every other document is read in half-overlapping windows. A window with ``SHARE`` of its squared TF-IDF
    length in the benchmark's terms, and ``SHARE`` of its length in the latent space, is a candidate
    for the items whose passages have a cosine of ``COSINE`` or more to it there. Both shares are less for
    an item shorter than a window, in proportion. Words outside the benchmark, whose frequency isn't
    counted, weigh as much as the median term that documents have, so shares don't depend on the corpus' size.
-4. Around a candidate window the longest common subsequence of words with the whole item is found.
+4. Around a candidate window, where the same bound holds again, the longest common subsequence of words with the whole item is found.
    A document leaks an item if that covers ``COVER`` of the item's words, or ``PART`` of them with
    ``ANSWER`` of its last quarter (where a question's answer stands), words counted by their weight.
 
@@ -27,7 +28,7 @@ of any name don't matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -198,14 +199,48 @@ def _search(kind: pa.DataType, vocab: np.ndarray, idf: np.ndarray, unknown: floa
     least, needed = SHARE * short.min(), (SHARE * short[owner]).astype(np.float32)
     vectors, squares = (latent * idf[:, None]).astype(np.float32), np.append(idf**2, unknown**2).astype(np.float32)
 
+    of_item = [find(h) for h in items]
+    needs = np.array([PART * w.sum() * (1 - 1e-9) for w in weights])
+    post_item = np.repeat(np.arange(len(items)), [len(t) for t in of_item])
+    post_term = np.concatenate(of_item)
+    by_term = np.argsort(post_term, kind="stable")
+    post_item, first_post = post_item[by_term], np.searchsorted(post_term[by_term], np.arange(len(vocab) + 1))
+
+    def possible(term: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Texts and items, as text * items + item, of which a text has enough words."""
+        known = term >= 0
+        both = np.unique(text[known] * len(vocab) + term[known])
+        of, term = both // len(vocab), both % len(vocab)
+        size = first_post[term + 1] - first_post[term]
+        at = np.arange(size.sum()) + np.repeat(first_post[term] - np.append(0, np.cumsum(size)[:-1]), size)
+        key, place = np.unique(np.repeat(of, size) * len(items) + post_item[at], return_inverse=True)
+        return key[np.bincount(place, np.repeat(idf[term], size), len(key)) >= needs[key % len(items)]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = words.Lookup(vocab)
+        find, here = words.Lookup(vocab), np.zeros(len(vocab) + 1, bool)  # the last place is for words that are no terms
+
+        def can(term: np.ndarray, item: int):  # noqa: ANN202
+            def region(low: int, high: int) -> bool:
+                here[term[low:high]] = True
+                here[-1] = False
+                enough = weights[item][here[of_item[item]]].sum() >= needs[item]
+                here[term[low:high]] = False
+                return enough
+
+            return region
+
         for b in batches:
             found: list[tuple] = []
             for first, h, at, text in _texts(b, "text"):
                 if not len(h):
                     continue
                 term = find(h)
+                pairs = possible(term, text)
+                if not len(pairs):
+                    continue
+                able = np.zeros(len(at), bool)
+                able[pairs // len(items)] = True
+                pairs = set(pairs.tolist())
                 within = np.arange(len(h)) - at[text]
                 begins = np.flatnonzero(within % STRIDE == 0)  # blocks of STRIDE words; a window is two of them
                 same = np.append(text[begins[1:]] == text[begins[:-1]], False)
@@ -213,7 +248,7 @@ def _search(kind: pa.DataType, vocab: np.ndarray, idf: np.ndarray, unknown: floa
                 pair = lambda x: x + np.where(same.reshape(-1, *[1] * (x.ndim - 1)), np.append(x[1:], x[:1] * 0, axis=0), 0)
                 whole = pair(np.add.reduceat(square, begins))
                 own = pair(np.add.reduceat(np.where(term >= 0, square, 0), begins))
-                near = own >= least * whole
+                near = (own >= least * whole) & able[text[begins]]
                 if not near.any():
                     continue
                 # Vectors are summed for the blocks of near windows alone.
@@ -241,7 +276,7 @@ def _search(kind: pa.DataType, vocab: np.ndarray, idf: np.ndarray, unknown: floa
                         key = (int(text[begins[w[s + i]]]), int(owner[j]))
                         best.setdefault(key, []).append((float(cosine[i, j]), int(begins[w[s + i]])))
                 for (d, item), spots in best.items():
-                    if (leak := check(h, at[d], at[d + 1], spots, lists[item], weights[item])) is not None:
+                    if d * len(items) + item in pairs and (leak := check(h, at[d], at[d + 1], spots, lists[item], weights[item], can(term, item))) is not None:
                         found.append((b.column("key")[first + d].as_py(), ids[item], *leak))
             names = ["key", "item_id", "cosine", "lcs", "item_words", "cover", "answer"]
             kinds = [kind, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
@@ -250,16 +285,19 @@ def _search(kind: pa.DataType, vocab: np.ndarray, idf: np.ndarray, unknown: floa
     return run
 
 
-def check(h: np.ndarray, low: int, high: int, spots: list, item: list[int], weight: np.ndarray) -> tuple | None:
-    """The item's best subsequence around its candidate windows, if that is a leak."""
+def check(h: np.ndarray, low: int, high: int, spots: list, item: list[int], weight: np.ndarray, can: Callable[[int, int], bool] | None = None) -> tuple | None:
+    """The item's best subsequence around its candidate windows, if that is a leak. ``can`` tells whether a region has words enough."""
     best, done = None, -1
     tail = len(item) - max(3, len(item) // 4)
     total, end = weight.sum(), weight[max(0, tail):].sum()
     for cosine, at in sorted(spots, key=lambda s: s[1]):
         if at < done:  # the region of the last window held this one with all of the item
             continue
-        region = h[max(low, at - len(item)) : min(high, at + WINDOW + len(item))].tolist()
+        begin, end_ = max(low, at - len(item)), min(high, at + WINDOW + len(item))
         done = at + STRIDE if len(item) > WINDOW else at
+        if can and not can(begin, end_):
+            continue
+        region = h[begin:end_].tolist()
         place = common(item, region)
         cover = weight[place].sum() / total if total else len(place) / len(item)
         answer = weight[[i for i in place if i >= tail]].sum() / end if end else 0.0
