@@ -258,7 +258,7 @@ def test_language_model_scores_bit_by_bit():
                 gate = (level(sum(pairs[0])) * 3 + level(sum(pairs[1]))) * 3 + level(sum(mine))
                 p = 1 / (1 + math.exp(-float(x @ w[gate])))
                 total += math.log(p if bit else 1 - p)
-                grad[gate] += 0.05 * (bit - p) * x
+                grad[gate] += lm.rate_at(int(lm.turn_of(at)), 0.05) * (bit - p) * x
                 own[node, bit] += 1
             before.append(word if place.get(word, coded) < coded else "rare")
         expected.append(total)
