@@ -53,7 +53,8 @@ def enough(size: Column, least_docs: int) -> Column:
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
     """(_text, _no, _line, _size, _leaf) of all lines; _leaf is null where a line is blank. _text stands for the whole text."""
-    lines = docs.select(F.unhex(F.md5("text")).alias("_text"), F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
+    # Beside a generator the digest would be made again for every line.
+    lines = docs.select("text", F.unhex(F.md5("text")).alias("_text")).select("_text", F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
     # A generator of one row: what is above it reads the masked line and doesn't make it again.
     lines = lines.select("_text", "_no", F.explode(F.array(masked(F.col("_raw")))).alias("_line"))
     count = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
@@ -80,9 +81,9 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
     own = lines.groupBy("_leaf", "_key", "_text").agg(F.min("_line").alias("_line"))
     kinds = own.groupBy("_leaf", "_key").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).join(leaves, "_leaf", "left_semi")
     kinds = stage.write(kinds, "kinds")
-    tokens = kinds.select("_leaf", "_key", "n", F.size(F.split("_line", " ")).alias("_size"), F.posexplode(F.split("_line", " ")).alias("_at", "_token"))
     # A token of fewer documents can't be constant in a template of that many.
-    tokens = tokens.withColumn("_enough", enough(F.col("_size"), least_docs))
+    kinds = kinds.withColumn("_tokens", F.split("_line", " ")).withColumn("_enough", enough(F.size("_tokens"), least_docs))
+    tokens = kinds.select("_leaf", "_key", "n", "_enough", F.posexplode("_tokens").alias("_at", "_token"))
     common = tokens.groupBy("_leaf", "_at", "_token").agg(F.sum("n").alias("_docs"), F.max("_enough").alias("_e")).where((F.col("_docs") >= F.col("_e")) & (F.col("_token") != VARIABLE)).drop("_e")
     counted = tokens.join(common, ["_leaf", "_at", "_token"], "left").withColumn("_docs", F.coalesce("_docs", F.lit(0)))
     whole = counted.groupBy("_leaf", "_key").agg(F.array_sort(F.collect_list(F.struct("_at", "_token", "_docs"))).alias("_t"))
