@@ -38,11 +38,15 @@ SHORT, LONG = 10, 50
 VARIABLE = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """The tokens of a line with one space between them; those with a digit are variable."""
+def spaced(line: Column) -> Column:
+    """The tokens of a line with one space between them."""
     odd = line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
-    tokens = F.when(odd, F.array_join(words_of(line), " ")).otherwise(line)
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ ]*?[0-9][^ ]*", VARIABLE)).otherwise(tokens)
+    return F.when(odd, F.array_join(words_of(line), " ")).otherwise(line)
+
+
+def masked(tokens: Column) -> Column:
+    """Tokens with one space between them; those with a digit are variable. Each is masked by itself, so leading ones can be masked alone."""
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ ]*?[0-9][^ ]*", VARIABLE)).otherwise(tokens)
 
 
 def enough(size: Column, least_docs: int) -> Column:
@@ -52,14 +56,14 @@ def enough(size: Column, least_docs: int) -> Column:
 
 
 def _lines(docs: DataFrame, least_tokens: int) -> DataFrame:
-    """(_text, _no, _line, _size, _leaf) of all lines; _leaf is null where a line is blank. _text stands for the whole text."""
+    """(_text, _no, _line, _size, _leaf) of all lines, as yet unmasked; _leaf is null where a line is blank. _text stands for the whole text."""
     # Beside a generator the digest would be made again for every line.
     lines = docs.select("text", F.unhex(F.md5("text")).alias("_text")).select("_text", F.posexplode(F.split("text", "\n", -1)).alias("_no", "_raw"))
-    # A generator of one row: what is above it reads the masked line and doesn't make it again.
-    lines = lines.select("_text", "_no", F.explode(F.array(masked(F.col("_raw")))).alias("_line"))
+    # A generator of one row: what is above it reads the spaced line and doesn't make it again.
+    lines = lines.select("_text", "_no", F.explode(F.array(spaced(F.col("_raw")))).alias("_line"))
     count = F.length("_line") - F.length(F.replace("_line", F.lit(" "), F.lit(""))) + 1
-    # The leading tokens are what stands before the DEPTH-th space.
-    leaf = F.when(count >= least_tokens, F.xxhash64(count, F.substring_index("_line", " ", DEPTH))).when(F.col("_line") != "", F.xxhash64(F.lit(0), "_line"))
+    # The leading tokens are what stands before the DEPTH-th space. The rest is masked only in lines of frequent leaves.
+    leaf = F.when(count >= least_tokens, F.xxhash64(count, masked(F.substring_index("_line", " ", DEPTH)))).when(F.col("_line") != "", F.xxhash64(F.lit(0), masked(F.col("_line"))))
     return lines.select("_text", "_no", "_line", count.alias("_size"), F.explode(F.array(leaf)).alias("_leaf"))
 
 
@@ -76,7 +80,7 @@ def templates(docs: DataFrame, least_docs: int = 10, least_tokens: int = 5, cons
     for i in range(WORDS):
         passes = passes & (F.col(f"w{i}").bitwiseAND(F.col(f"_m{i}")) == F.col(f"_m{i}"))
     # A line counts once for a text, however often the text has it.
-    possible = probe.join(F.broadcast(seen), F.col("_block") == F.col("block")).where(passes).select("_text", "_no", "_leaf", "_line")
+    possible = probe.join(F.broadcast(seen), F.col("_block") == F.col("block")).where(passes).select("_text", "_no", "_leaf", masked(F.col("_line")).alias("_line"))
     lines = stage.write(possible.withColumn("_key", F.unhex(F.md5("_line"))), "lines")
     own = lines.groupBy("_leaf", "_key", "_text").agg(F.min("_line").alias("_line"))
     kinds = own.groupBy("_leaf", "_key").agg(F.count("*").alias("n"), F.min("_line").alias("_line")).join(leaves, "_leaf", "left_semi")
