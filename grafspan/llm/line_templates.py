@@ -40,7 +40,9 @@ VARIABLE = "<*>"
 
 def spaced(line: Column) -> Column:
     """The tokens of a line with one space between them."""
-    odd = line.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$")
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for gap in ("  ", *"\t\n\x0b\f\r"):
+        odd = odd | F.contains(line, F.lit(gap))
     return F.when(odd, F.array_join(words_of(line), " ")).otherwise(line)
 
 
