@@ -10,11 +10,12 @@ other words, which are then spelled in bytes, by a Huffman code of bytes, up to
    three bytes back, and the whole word so far. There are as many slots a context as there are training words, up to 2**``SLOT_BITS``; partial tables are summed by range of slots.
 3. One more predictor counts the choices of the text itself so far.
 4. A mixer adds the predictors' log-odds with weights that a gate selects: how often the contexts were seen. Starting weights are
-   learned online from a bounded sample of training texts, with each choice's own occurrence left out. While a text is read, its own
-   copy of the weights is refined by the errors made, after every ``BLOCK`` words, and after every ``LATER`` ones beyond the
+   those of the greatest likelihood of all choices of all training texts (of bytes: of all different training words), each choice's own
+   occurrence left out: choices are counted by their inputs, whose log-odds are rounded beyond three occurrences, and the driver sees
+   these counts only. While a text is read, its own copy of the weights is refined by the errors made, after every ``BLOCK`` words, and after every ``LATER`` ones beyond the
    first ``EARLY``; its own counts grow with every word. The score is the log10 probability of the whole text; bits_per_byte is that in bits by its bytes.
 
-All sums are of integers, and samples are chosen and sorted by a hash, so scores don't depend on partitions or cores.
+All sums over texts are of integers, so scores don't depend on partitions or cores.
 Words among the ``HOT`` most frequent are looked up in a table of that bounded size. Any other is
 rare, so that its count comes by a join without hot keys.
 
@@ -45,10 +46,8 @@ ORDERS, BYTES, SLOT_BITS = 2, 3, 20
 HOT, CODED = 1 << 18, 1 << 16
 BLOCK, EARLY, LATER, SEGMENT = 16, 256, 256, 1 << 16
 RATE = 0.02
-#: Most texts and words of the sample that starting weights are learned from, and most different words for those of bytes.
-SAMPLE_TEXTS, SAMPLE_WORDS, SAMPLE_SPELLED = 2000, 400_000, 60_000
 PLACES, GATES = 4, 4 * (BYTES + 1)
-_CHUNKS = 64
+_CHUNKS, _PLACE_BITS = 64, 26
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PREFIX = np.random.default_rng(20_240_505).integers(0, 2**64, (64, 256), dtype=np.uint64)
 _SALT = np.random.default_rng(20_240_506).integers(0, 2**64, 8, dtype=np.uint64)
@@ -105,18 +104,27 @@ class Code:
             place = self.first[s] + self.length[s] - 1 - k
             self.node[place], self.bit[place] = on[s], bit[s]
         self.nodes = max(1, n - 1)
+        self.name = self.node.astype(np.uint64) * _GOLD * _ODD
+        self.key = self.node << _PLACE_BITS + 1 | self.bit
 
-    def choices(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first choice of each symbol, symbol's place, node, bit) of all choices."""
+    def choices(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first choice of each symbol, how many it has, places of all choices in the code)."""
         size = self.length[symbols]
         start = np.append(0, np.cumsum(size)[:-1])
-        at = np.repeat(np.arange(len(symbols)), size)
-        entry = np.arange(len(at)) + (self.first[symbols] - start)[at]
-        return start, at, self.node[entry], self.bit[entry]
-
-
-def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return (((context + node) * _ODD) >> np.uint64(64 - bits)).astype(np.int64)
+        entry = np.repeat(self.first[symbols] - start, size)
+        entry += np.arange(len(entry))
+        return start, size, entry
+
+    def slots(self, contexts: list[np.ndarray], size: np.ndarray, entry: np.ndarray, bits: int) -> list[np.ndarray]:
+        """Each choice's slot in the table of each context."""
+        name, out = self.name[entry], []
+        for k, c in enumerate(contexts):
+            s = np.repeat(c * _ODD, size)
+            s += name
+            s >>= np.uint64(64 - bits)
+            s += np.uint64(k << bits)
+            out.append(s.view(np.int64))
+        return out
 
 
 # --- words spelled in bytes ---
@@ -140,10 +148,8 @@ def spelled(batch: list[bytes], code: Code, bits: int) -> tuple[np.ndarray, list
     prefix = run - run[begin[word]]
     contexts = [back[0] | back[1] << np.uint64(9), back[0] | back[1] << np.uint64(9) | back[2] << np.uint64(18), prefix]
     contexts = [mix64(x ^ s) for x, s in zip(contexts, _SALT[:BYTES], strict=True)]
-    start, at, node, bit = code.choices(c)
-    node = node.astype(np.uint64) * _GOLD
-    slots = [_slot(x[at], node, bits) + (k << bits) for k, x in enumerate(contexts)]
-    return start[begin], slots, bit, np.minimum(place, PLACES - 1)[at]
+    start, size, entry = code.choices(c)
+    return start[begin], code.slots(contexts, size, entry, bits), code.bit[entry], np.repeat(np.minimum(place, PLACES - 1), size)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], size: int = 4000) -> Iterator[tuple[list[bytes], np.ndarray]]:
@@ -159,11 +165,11 @@ def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(n.astype(np.int64))], ["byte", "n"])
 
 
-def _chunks(n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _chunks(n: np.ndarray, kind: type = np.int32) -> Iterator[pa.RecordBatch]:
     """A table's ranges that are not empty."""
     for i, part in enumerate(np.array_split(n, _CHUNKS)):
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(np.int32).tobytes()], pa.binary())], ["chunk", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(kind).tobytes()], pa.binary())], ["chunk", "n"])
 
 
 def _spelled_tables(code: Code, bits: int):
@@ -181,22 +187,30 @@ def _spelled_tables(code: Code, bits: int):
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i, n in zip(b.column("chunk").to_pylist(), b.column("n"), strict=True):
-            part = np.frombuffer(n.as_buffer(), np.int32).astype(np.int64)
-            sums[i] = sums[i] + part if i in sums else part
-    for i, n in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.minimum(n, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], ["chunk", "n"])
+def _added(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, n in zip(b.column("chunk").to_pylist(), b.column("n"), strict=True):
+                part = np.frombuffer(n.as_buffer(), kind).astype(np.int64)
+                sums[i] = sums[i] + part if i in sums else part
+        for i, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([np.minimum(n, np.iinfo(kind).max).astype(kind).tobytes()], pa.binary())], ["chunk", "n"])
+
+    return run
+
 
+def _few(df: DataFrame) -> DataFrame:
+    """The same rows in few tasks, as each one leaves a table; two for each core."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
-def _table(parts: DataFrame, size: int) -> np.ndarray:
+
+def _table(parts: DataFrame, size: int, kind: type = np.int32) -> np.ndarray:
     """The sum of partial tables: ``size`` numbers, which is bounded."""
-    out = np.zeros(size, np.int32)
+    out = np.zeros(size, kind)
     ranges = np.array_split(out, _CHUNKS)  # views
-    for r in parts.repartition(_CHUNKS // 4, "chunk").mapInArrow(_added, "chunk long, n binary").toLocalIterator():
-        ranges[r["chunk"]][:] = np.frombuffer(r["n"], np.int32)
+    for r in parts.repartition(_CHUNKS // 4, "chunk").mapInArrow(_added(kind), "chunk long, n binary").toLocalIterator():
+        ranges[r["chunk"]][:] = np.frombuffer(r["n"], kind)
     return out
 
 
@@ -204,26 +218,112 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -8, 8)
 
 
-def _spelled_weights(code: Code, bits: int, zeros: np.ndarray, ones: np.ndarray, rate: float = 0.4):
-    """Different words to learned weights (GATES x inputs), each word's own occurrence left out."""
+# Starting weights. A choice is seen from the branch taken: ahead and against are how often its context went there and elsewhere.
+# States: each pair of counts up to ``FEW`` together is one, beyond that log-odds in ``RUNGS`` steps, finer near zero.
+FEW, RUNGS, PLAIN = 3, 33, 17
+STATES = (FEW + 1) * (FEW + 2) // 2 + RUNGS
+
+
+def rungs(n: int, bend: float) -> np.ndarray:
+    """n log-odds from -8 to 8."""
+    return 8 * np.sinh(bend * np.linspace(-1, 1, n)) / np.sinh(bend)
+
+
+def rung(x: np.ndarray, n: int, bend: float) -> np.ndarray:
+    """The place of log-odds among ``rungs``."""
+    return n // 2 + np.rint(np.arcsinh(x / 8 * np.sinh(bend)) / bend * (n // 2)).astype(np.int64)
+
+
+BEND, PLAIN_BEND = 3.2, 4.4
+
+
+def state(ahead: np.ndarray, against: np.ndarray) -> np.ndarray:
+    n = ahead + against
+    return np.where(n <= FEW, n * (n + 1) // 2 + against, STATES - RUNGS + rung(odds(against, ahead), RUNGS, BEND)).astype(np.uint8)
+
+
+def others(zeros: np.ndarray, ones: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ahead, against) of a choice of zero, and of one, without itself."""
+    zeros, ones = zeros.astype(np.int64), ones.astype(np.int64)
+    return [(np.maximum(zeros - 1, 0), ones), (np.maximum(ones - 1, 0), zeros)]
+
+
+def states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The state of each slot for a choice of zero, then for one."""
+    return np.concatenate([state(*c) for c in others(zeros, ones)])
+
+
+_PAIRS = [(n - b, b) for n in range(FEW + 1) for b in range(n + 1)]
+STATE_ODDS = np.append([odds(np.float64(b), np.float64(a)) for a, b in _PAIRS], rungs(RUNGS, BEND))
+STATE_SEEN = np.append([a + b for a, b in _PAIRS], np.full(RUNGS, FEW + 1))
+#: Counts of a text itself: exact up to 63, then eight steps for each doubling.
+_STEP = np.arange(SEGMENT + 1)
+_STEP[64:] = 64 + np.floor(8 * np.log2(_STEP[64:] / 64)).astype(np.int64)
+_STEPS = int(_STEP[-1]) + 1
+_STEP_ONES = _STEP * _STEPS
+_LEAST = np.searchsorted(_STEP, np.arange(_STEPS))
+#: States of a choice of zero, then of one, by steps of ones and of zeros.
+_OWN = np.concatenate([state(_LEAST[None, :], _LEAST[:, None]).reshape(-1), state(_LEAST[:, None], _LEAST[None, :]).reshape(-1)])
+
+
+def best_weights(n: np.ndarray, x: np.ndarray, gate: np.ndarray, gates: int) -> np.ndarray:
+    """Weights (gates x inputs) of the greatest likelihood of n choices with inputs x towards the branch taken, by Newton's steps; 0.3 without any."""
+    k = x.shape[1]
+    w = np.full((gates, k), 0.3)
+
+    def loss(w: np.ndarray) -> np.ndarray:
+        return np.bincount(gate, n * np.logaddexp(0, -np.einsum("ij,ij->i", x, w[gate])), gates) + ((w - 0.3) ** 2).sum(axis=1) / 2
+
+    now = loss(w)
+    for _ in range(40):
+        q = 1 / (1 + np.exp(np.einsum("ij,ij->i", x, w[gate])))
+        slope = np.stack([np.bincount(gate, n * q * x[:, i], gates) for i in range(k)], axis=1) - (w - 0.3)
+        bend = np.empty((gates, k, k))
+        for i in range(k):
+            for j in range(i + 1):
+                bend[:, i, j] = bend[:, j, i] = np.bincount(gate, n * q * (1 - q) * x[:, i] * x[:, j], gates) + (i == j)
+        step = np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+        for _ in range(30):
+            then = loss(w + step)
+            worse = then > now
+            if not worse.any():
+                break
+            step[worse] /= 2
+        step[then > now] = 0
+        w, now = w + step, np.minimum(then, now)
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
+
+
+SPELLED_CELLS = PLACES * 2 * STATES**BYTES
+
+
+def _spelled_cells(code: Code, bits: int, known: np.ndarray):
+    """Different words to how many of their choices have each place, branch and states, each word's own occurrence left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = np.full((GATES, BYTES + 1), 0.3), np.full((GATES, BYTES + 1), 1e-2)
-        for some, _ in _pieces(batches, 500):
+        n = np.zeros(SPELLED_CELLS, np.int64)
+        for some, _ in _pieces(batches, 10_000):
             _, slots, bit, place = spelled(some, code, bits)
-            at, one = np.stack(slots, axis=1), bit[:, None].astype(np.int64)
-            n0, n1 = np.maximum(zeros[at] - (1 - one), 0), np.maximum(ones[at] - one, 0)
-            x = np.concatenate((odds(n0, n1), np.full((len(bit), 1), 0.3)), axis=1)
-            gate = place * (BYTES + 1) + ((n0 + n1) > 0).sum(axis=1)
-            error = bit - 1 / (1 + np.exp(-np.einsum("ij,ij->i", x, w[gate])))
-            step = np.stack([np.bincount(gate, error * x[:, k], GATES) for k in range(BYTES + 1)], axis=1) / np.maximum(np.bincount(gate, minlength=GATES), 1)[:, None]
-            seen += step**2
-            w += rate * step / np.sqrt(seen + 1.0)
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+            side = bit.astype(np.int64) * (BYTES << bits)
+            cell = place * 2 + bit
+            for s in slots:
+                cell *= STATES
+                cell += known[s + side]
+            np.add.at(n, cell, 1)
+        yield from _chunks(n, np.int64)
 
     return run
 
 
+def spelled_weights(n: np.ndarray) -> np.ndarray:
+    cell = np.flatnonzero(n)
+    of, place = [cell // STATES**k % STATES for k in reversed(range(BYTES))], cell // STATES**BYTES
+    x = np.stack([*(STATE_ODDS[s] for s in of), np.where(place % 2, 0.3, -0.3)], axis=1)
+    return best_weights(n[cell], x, place // 2 * (BYTES + 1) + sum((s > 0).astype(np.int64) for s in of), GATES)
+
+
 class Speller:
     """What the byte model needs to score a word."""
 
@@ -252,18 +352,21 @@ LEVELS = 3
 WORD_GATES = LEVELS**3
 
 
+#: A text's own counts end with its segment.
+_LOG = np.log(np.arange(SEGMENT + 1) + 0.4).astype(np.float32)
+
+
 def level(n: np.ndarray) -> np.ndarray:
     """Never seen, a few times, more often."""
-    return (n > 0).astype(np.int8) + (n > 3)
+    return (n > 0).astype(np.int8) + (n > FEW)
 
 
-def word_slots(symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray, ...]:
-    """(first choice of each word, word's place, node, bit, slots by context) of all choices."""
-    start, at, node, bit = code.choices(symbols)
-    name = node.astype(np.uint64) * _GOLD
+def word_slots(symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(choices of each word, places in the code and slots by context of all choices)."""
+    _, size, entry = code.choices(symbols)
     one = mix64(before.astype(np.uint64) ^ _SALT[4])
     two = mix64(one + before2.astype(np.uint64) * _ODD)
-    return start, at, node, bit, [_slot(c[at], name, bits) + (k << bits) for k, c in enumerate((one, two))]
+    return size, entry, code.slots([one, two], size, entry, bits)
 
 
 def node_counts(code: Code, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,22 +376,29 @@ def node_counts(code: Code, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[::2], both[1::2]
 
 
-def in_text(text: np.ndarray, node: np.ndarray, bit: np.ndarray, nodes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones that each choice's node had before in its text."""
-    if not len(node):
-        return node.astype(np.int32), node.astype(np.int32)
-    # Sorting numbers that hold their own place is faster than sorting places.
-    shift = np.int64(len(node).bit_length())
-    packed = np.sort(((text * nodes + node) << shift) | np.arange(len(node)))
-    order, key = packed & ((np.int64(1) << shift) - 1), packed >> shift
-    b = bit[order].astype(np.int32)
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    start = np.repeat(first.astype(np.int32), np.diff(np.append(first, len(key))))
-    ones = np.cumsum(b, dtype=np.int32) - b
-    ones -= ones[start]
-    n0, n1 = np.empty(len(key), np.int32), np.empty(len(key), np.int32)
-    n0[order], n1[order] = np.arange(len(key), dtype=np.int32) - start - ones, ones
-    return n0, n1
+def in_text(text: np.ndarray, size: np.ndarray, entry: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Zeros and ones that each choice's node had before in its text, with the choice's place and bit: sorted by text and node."""
+    if not len(entry):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    # Sorting numbers that hold their own place and bit is faster than sorting places.
+    packed = np.repeat(text * code.nodes << _PLACE_BITS + 1, size)
+    packed += code.key[entry]
+    packed += np.arange(0, 2 * len(entry), 2)
+    packed.sort()
+    b = packed & 1
+    packed >>= 1
+    order = packed & (1 << _PLACE_BITS) - 1
+    packed >>= _PLACE_BITS
+    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
+    many = np.diff(np.append(first, len(packed)))
+    ones = np.cumsum(b)
+    ones -= b
+    ones -= np.repeat(ones[first], many)
+    n = np.arange(len(packed))
+    n -= np.repeat(first, many)
+    n -= ones
+    return n, ones, order, b
 
 
 def turn_of(place):  # noqa: ANN001, ANN201
@@ -306,20 +416,25 @@ class Reader:
 
     def __init__(self, code: Code, bits: int, many: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray, rate: float = RATE):
         self.code, self.bits, self.weights, self.rate = code, bits, weights, rate
-        self.plain = odds(*node_counts(code, many)).astype(np.float32)
-        self.odds, self.level = np.rint(odds(zeros, ones) * 15).astype(np.int8), level(zeros.astype(np.int64) + ones)
+        self.plain = odds(*node_counts(code, many)).astype(np.float32)[code.node]
+        #: Log-odds in fifteenths, four times, and the level.
+        self.table = np.rint(odds(zeros, ones) * 15).astype(np.int16) * 4 + level(zeros.astype(np.int64) + ones)
 
     def inputs(self, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
         """(log-odds, gate, bit, text) of all choices of some words."""
-        _, at, node, bit, slots = word_slots(symbols, before, before2, self.code, self.bits)
-        of = text[at]
-        n0, n1 = in_text(of, node, bit, self.code.nodes)
-        x = np.empty((INPUTS, len(bit)), np.float32)
+        size, entry, slots = word_slots(symbols, before, before2, self.code, self.bits)
+        n0, n1, order, _ = in_text(text, size, entry, self.code)
+        x, gate = np.empty((INPUTS, len(entry)), np.float32), np.zeros(len(entry), np.int8)
         for k, s in enumerate(slots):
-            x[k] = self.odds[s]
-        x[:ORDERS] /= 15
-        x[ORDERS], x[ORDERS + 1] = self.plain[node], odds(n0.astype(np.float32), n1.astype(np.float32))
-        gate = (self.level[slots[0]] * np.int8(LEVELS) + self.level[slots[1]]) * np.int8(LEVELS) + level(n0 + n1)
+            both = self.table[s]
+            np.multiply(both >> 2, np.float32(1 / 15), out=x[k])
+            gate = gate * np.int8(LEVELS) + (both & 3).astype(np.int8)
+        x[ORDERS] = self.plain[entry]
+        x[ORDERS + 1][order] = np.clip(_LOG[n1] - _LOG[n0], -8, 8)
+        own = np.empty(len(entry), np.int8)
+        own[order] = level(n0 + n1)
+        gate = gate * np.int8(LEVELS) + own
+        bit, of = self.code.bit[entry], np.repeat(text, size)
         return x, gate, bit, of
 
     def score(self, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -346,9 +461,10 @@ class Reader:
                 z += w[k][ks] * xs[k]
             z *= sign[low:high]
             n = int(texts.max()) + 1
-            loss = np.log1p(np.exp(-np.clip(z, -30, 30)))
+            away = np.exp(-np.clip(z, -30, 30))
+            loss = np.log1p(away)
             total[:n] -= np.bincount(texts, loss, n)
-            error = sign[low:high] * -np.expm1(-loss) * np.float32(rate_at(t, self.rate))  # 1 - p of the branch taken
+            error = sign[low:high] * (away / (1 + away)) * np.float32(rate_at(t, self.rate))  # 1 - p of the branch taken
             for k in range(INPUTS):
                 w[k][: n * WORD_GATES] += np.bincount(ks, error * xs[k], n * WORD_GATES)
         out = np.empty(len(sizes))
@@ -374,21 +490,73 @@ class _Ids(dict):
         self.new = []
 
 
+def _numbered(hot: list[bytes]):
+    """Texts to the numbers of their words in the hot table, and those words that aren't in it, so that later passes don't cut texts into words again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, out, room = {w: i for i, w in enumerate(hot)}, [], 0
+
+        def rows() -> pa.RecordBatch:
+            kinds = pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "numbers", "rare"])
+
+        for b in batches:
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                text = t.as_py() or b""
+                tokens = text.lower().split()
+                tokens.append(b"")
+                numbers = np.fromiter(map(ids.get, tokens, repeat(len(hot))), np.int32, len(tokens))
+                out.append((d, len(text), numbers.tobytes(), [tokens[i] for i in np.flatnonzero(numbers == len(hot))]))
+                room += len(tokens)
+                if room > 1 << 20:
+                    yield rows()
+                    out, room = [], 0
+        if out:
+            yield rows()
+
+    return run
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], ids: _Ids | dict, room: int = 120_000) -> Iterator[list[tuple]]:
-    """Lists of (doc_id, word numbers, how many of them stand before, bytes of the text), texts in segments, with some ``room`` of words each."""
+    """Lists of (doc_id, word numbers, how many of them stand before, bytes of the text), texts in segments, with some ``room`` of words each.
+
+    Batches hold texts, or word numbers as ``_numbered`` makes them, with the same hot table."""
     # A plain dict gives all other words one number; else they get numbers until the list is done.
     other = isinstance(ids, _Ids)
     find = (lambda part: map(ids.__getitem__, part)) if other else (lambda part: map(ids.get, part, repeat(len(ids))))
+
+    def texts(b: pa.RecordBatch) -> Iterator[tuple]:
+        """(doc_id, bytes, number of words, its numbers from one place to another)."""
+        names = b.column("doc_id").to_pylist() if "doc_id" in b.schema.names else repeat(None, b.num_rows)
+        if "text" in b.schema.names:
+            for d, t in zip(names, b.column("text").cast(pa.binary()), strict=True):
+                tokens = (t.as_py() or b"").lower().split()
+                tokens.append(b"")
+                yield d, len(t.as_py() or b""), len(tokens), lambda i, j: np.fromiter(find(tokens[i:j]), np.int64, min(j, len(tokens)) - i)  # noqa: B023
+            return
+        sizes, lists = (b.column("n_bytes").to_pylist(), b.column("rare")) if other else (repeat(0, b.num_rows), repeat(None, b.num_rows))
+        for d, size, x, some in zip(names, sizes, b.column("numbers"), lists, strict=True):
+            numbers = np.frombuffer(x.as_buffer(), np.int32)
+            if not other or not len(some):
+                yield d, size, len(numbers), lambda i, j: numbers[i:j].astype(np.int64)  # noqa: B023
+                continue
+            rare, at = some.as_py(), np.flatnonzero(numbers == ids.hot)
+
+            def part(i: int, j: int) -> np.ndarray:
+                out = numbers[i:j].astype(np.int64)  # noqa: B023
+                low, high = np.searchsorted(at, (i, j))  # noqa: B023
+                out[at[low:high] - i] = [ids[w] for w in rare[low:high]]  # noqa: B023
+                return out
+
+            yield d, size, len(numbers), part
+
     held, n = [], 0
     for b in batches:
-        names = b.column("doc_id").to_pylist() if "doc_id" in b.schema.names else [None] * b.num_rows
-        for d, t in zip(names, b.column("text").cast(pa.binary()), strict=True):
-            tokens = (t.as_py() or b"").lower().split()
-            tokens.append(b"")
-            for i in range(0, len(tokens), SEGMENT):
-                part = tokens[max(0, i - 2) : i + SEGMENT]  # with the two words before
-                held.append((d, np.fromiter(find(part), np.int64, len(part)), min(i, 2), 0 if i else len(t.as_py() or b"")))
-                n += len(part)
+        for d, size, many, part in texts(b):
+            for i in range(0, many, SEGMENT):
+                some = part(max(0, i - 2), i + SEGMENT)  # with the two words before
+                held.append((d, some, min(i, 2), 0 if i else size))
+                n += len(some)
                 if n > room:
                     yield held
                     held, n = [], 0
@@ -413,46 +581,66 @@ def sequence(held: list[tuple], coded: int) -> tuple[np.ndarray, ...]:
 
 def _word_tables(code: Code, bits: int, hot: list[bytes], coded: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(2 * ORDERS << bits, np.int64)
+        n, side = np.zeros(2 * ORDERS << bits, np.int64), code.bit.astype(np.int64) * (ORDERS << bits)
+        now, room = np.zeros(len(n), np.int32), 2**31 - 1  # smaller numbers are counted faster
         for held in texts_of(batches, {w: i for i, w in enumerate(hot)}, 150_000):
             _, symbols, before, before2, _ = sequence(held, coded)
-            _, _, _, bit, slots = word_slots(symbols, before, before2, code, bits)
-            up = bit.astype(np.int64) << bits
-            for k, s in enumerate(slots):  # a context's zeros, then its ones
-                n[2 * k << bits : 2 * (k + 1) << bits] += np.bincount(s - (k << bits) + up, minlength=2 << bits)
-        yield from _chunks(np.minimum(n.reshape(ORDERS, 2, -1).swapaxes(0, 1).reshape(-1), 2**31 - 1))
+            _, entry, slots = word_slots(symbols, before, before2, code, bits)
+            up = side[entry]
+            room -= len(entry)
+            if room < 0:
+                n += now
+                now[:], room = 0, 2**31 - 1 - len(entry)
+            for s in slots:
+                s += up
+                np.add.at(now, s, np.int32(1))
+        yield from _chunks(np.minimum(n + now, 2**31 - 1))
 
     return run
 
 
-def _word_weights(code: Code, bits: int, many: np.ndarray, zeros: np.ndarray, ones: np.ndarray, hot: list[bytes], coded: int, rate: float = 0.3, rounds: int = 2):
-    """A sample of training texts to learned weights (WORD_GATES x INPUTS), each choice's own occurrence left out."""
+WORD_CELLS = STATES ** (ORDERS + 1) * PLAIN
+
+
+def plain_states(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """As ``states``, of log-odds without context."""
+    return np.concatenate([rung(odds(b, a), PLAIN, PLAIN_BEND).astype(np.uint8) for a, b in others(zeros, ones)])
+
+
+def _word_cells(code: Code, bits: int, seen: np.ndarray, plain: np.ndarray, hot: list[bytes], coded: int):
+    """Training texts to how many of their choices have each combination of states, each choice's own occurrence left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, seen = np.full((WORD_GATES, INPUTS), 0.3), np.full((WORD_GATES, INPUTS), 1e-2)
-        plain, words = node_counts(code, many), 0
-        for held in texts_of(batches, {w: i for i, w in enumerate(hot)}, 20_000):
+        n, side, last = np.zeros(WORD_CELLS, np.int64), code.bit.astype(np.int64) * (ORDERS << bits), plain[code.node + code.bit.astype(np.int64) * code.nodes].astype(np.int64)
+        for held in texts_of(batches, {w: i for i, w in enumerate(hot)}, 120_000):
             _, symbols, before, before2, starts = sequence(held, coded)
-            _, at, node, bit, slots = word_slots(symbols, before, before2, code, bits)
-            n0, n1 = in_text(np.repeat(np.arange(len(starts) - 1), np.diff(starts))[at], node, bit, code.nodes)
-            left = [(np.maximum(a[s] - (1 - bit), 0), np.maximum(b[s] - bit, 0)) for s, a, b in ((slots[0], zeros, ones), (slots[1], zeros, ones), (node, *plain))]
-            x = np.stack([*(odds(a, b) for a, b in left), odds(n0, n1)], axis=1)
-            gate = (level(left[0][0] + left[0][1]).astype(np.int64) * LEVELS + level(left[1][0] + left[1][1])) * LEVELS + level(n0 + n1)
-            for _ in range(rounds):
-                for i in range(0, len(bit), 20_000):
-                    xs, gs = x[i : i + 20_000], gate[i : i + 20_000]
-                    error = bit[i : i + 20_000] - 1 / (1 + np.exp(-np.einsum("ij,ij->i", xs, w[gs])))
-                    step = np.stack([np.bincount(gs, error * xs[:, k], WORD_GATES) for k in range(INPUTS)], axis=1) / np.maximum(np.bincount(gs, minlength=WORD_GATES), 1)[:, None]
-                    seen += step**2
-                    w += rate * step / np.sqrt(seen + 1.0)
-            words += len(symbols)
-            if words > SAMPLE_WORDS:
-                break
-        yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+            size, entry, slots = word_slots(symbols, before, before2, code, bits)
+            n0, n1, order, bit = in_text(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), size, entry, code)
+            bit *= _STEPS**2
+            bit += _STEP[n0]
+            bit += _STEP_ONES[n1]
+            own = np.empty(len(entry), np.uint8)
+            own[order] = _OWN[bit]
+            cell, up = last[entry], side[entry]
+            for s, place in zip(slots, (STATES**2 * PLAIN, STATES * PLAIN), strict=True):
+                s += up
+                cell += seen[s] * np.int64(place)
+            cell += own * np.int64(PLAIN)
+            np.add.at(n, cell, 1)
+        yield from _chunks(n, np.int64)
 
     return run
 
 
+def word_weights(n: np.ndarray) -> np.ndarray:
+    cell = np.flatnonzero(n)
+    of, gate = [cell // PLAIN // STATES**k % STATES for k in reversed(range(ORDERS + 1))], 0
+    for s in of:
+        gate = gate * LEVELS + level(STATE_SEEN[s]).astype(np.int64)
+    x = np.stack([*(STATE_ODDS[s] for s in of[:ORDERS]), rungs(PLAIN, PLAIN_BEND)[cell % PLAIN], STATE_ODDS[of[ORDERS]]], axis=1)
+    return best_weights(n[cell], x, gate, WORD_GATES)
+
+
 def _scorer(reader: Reader, speller: Speller, hot: list[bytes], hot_spelled: np.ndarray, hot_base: np.ndarray, coded: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(hot)
@@ -482,12 +670,6 @@ def _scorer(reader: Reader, speller: Speller, hot: list[bytes], hot_spelled: np.
     return run
 
 
-def _one(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Learned weights; without a sample all are alike."""
-    found = parts.first()
-    return np.frombuffer(found["w"]).reshape(shape) if found else np.full(shape, 0.3)
-
-
 def score(docs: DataFrame, stage: Stage | None = None, hot: int = HOT, coded: int = CODED, slot_bits: int = SLOT_BITS) -> DataFrame:
     """doc_id and text to doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     stage = stage or Stage(docs.sparkSession, "lm")
@@ -505,29 +687,30 @@ def score(docs: DataFrame, stage: Stage | None = None, hot: int = HOT, coded: in
     below = n + 0.1 * (v + 1)
     base = np.log10((many + 0.1) / below) if below else np.zeros(0)
 
-    # Bytes: the tables count every word, weights are learned from a sample of the different ones.
+    # Bytes: the tables count every word, weights are learned from all different ones.
     bits = min(slot_bits, max(14, int(n).bit_length()))
     byte_bits = min(bits, 18)
     of_byte = np.zeros(256, np.int64)
     for r in counts.mapInArrow(_histogram, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
         of_byte[r["byte"]] = r["n"]
     bytes_code = Code(of_byte)
-    zeros, ones = _table(counts.mapInArrow(_spelled_tables(bytes_code, byte_bits), "chunk long, n binary"), 2 * BYTES << byte_bits).reshape(2, -1)
-    share = F.pmod(F.xxhash64("word"), F.lit(1 << 30))
-    some = counts.where(share < int((1 << 30) * min(1.0, SAMPLE_SPELLED / max(v, 1)))).repartition(1).sortWithinPartitions(share, "word")
-    speller = Speller(bytes_code, byte_bits, zeros, ones, _one(some.mapInArrow(_spelled_weights(bytes_code, byte_bits, zeros, ones), "w binary"), (GATES, BYTES + 1)))
+    zeros, ones = _table(_few(counts).mapInArrow(_spelled_tables(bytes_code, byte_bits), "chunk long, n binary"), 2 * BYTES << byte_bits).reshape(2, -1)
+    cells = _table(_few(counts).mapInArrow(_spelled_cells(bytes_code, byte_bits, states(zeros, ones)), "chunk long, n binary"), SPELLED_CELLS, np.int64)
+    speller = Speller(bytes_code, byte_bits, zeros, ones, spelled_weights(cells))
 
     # Words: one symbol more, for those that are spelled.
     symbols = np.append(many[:coded], n - many[:coded].sum())
     code = Code(symbols)
-    zeros, ones = _table(training.mapInArrow(_word_tables(code, bits, words[:coded], coded), "chunk long, n binary"), 2 * ORDERS << bits).reshape(2, -1)
-    n_texts = int(many[words.index(b"")]) if b"" in words else 0
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    some = training.where(share < int((1 << 30) * min(1.0, SAMPLE_TEXTS / max(n_texts, 1)))).dropDuplicates(["text"]).repartition(1).sortWithinPartitions(share, "text")
-    reader = Reader(code, bits, symbols, zeros, ones, _one(some.mapInArrow(_word_weights(code, bits, symbols, zeros, ones, words[:coded], coded), "w binary"), (WORD_GATES, INPUTS)))
+    numbered = stage.write(docs.mapInArrow(_numbered(words), "doc_id long, n_bytes long, numbers binary, rare array<binary>"), "numbered")
+    training = numbered.where(~held_out(F.col("doc_id"))).select("numbers")
+    zeros, ones = _table(_few(training).mapInArrow(_word_tables(code, bits, words[:coded], coded), "chunk long, n binary"), 2 * ORDERS << bits).reshape(2, -1)
+    cells = _word_cells(code, bits, states(zeros, ones), plain_states(*node_counts(code, symbols)), words[:coded], coded)
+    cells = _table(_few(training).mapInArrow(cells, "chunk long, n binary"), WORD_CELLS, np.int64)
+    reader = Reader(code, bits, symbols, zeros, ones, word_weights(cells))
 
     schema = "uid binary, doc_id long, n_bytes long, n_tokens long, n_known long, base_score double, score double, rare array<binary>"
-    scored = stage.write(docs.mapInArrow(_scorer(reader, speller, words, speller.score(words[coded:]) if words[coded:] else np.zeros(0), base, coded), schema), "scored")
+    scored = stage.write(numbered.mapInArrow(_scorer(reader, speller, words, speller.score(words[coded:]) if words[coded:] else np.zeros(0), base, coded), schema), "scored")
+    stage.drop(numbered)
     each = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(float(below)))
     rare = scored.select("uid", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("uid").agg(F.sum(each).alias("_sum"), F.sum((F.coalesce("c", F.lit(0)) > 0).cast("long")).alias("_known"))
     whole = scored.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_bytes", "n_tokens", "n_known", "base_score", "score")]).join(rare, "uid", "left")

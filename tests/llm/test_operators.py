@@ -265,6 +265,79 @@ def test_language_model_scores_bit_by_bit():
     assert got == pytest.approx(expected, rel=2e-4)
 
 
+def test_language_model_learns_weights_from_all_training_texts(spark, monkeypatch):
+    """More texts, words and different words than any sample: each choice counts once, and counts give the likeliest weights."""
+    import numpy as np
+
+    lm, rng, seen = language_model, random.Random(21), {}
+    rows = [(i, " ".join(f"{'Aa'[j % 2]}{rng.randrange(10 ** rng.randint(1, 6)):x}" for j in range(rng.randint(0, 190)))) for i in range(5000)]
+    for name in ("word_weights", "spelled_weights"):
+        monkeypatch.setattr(lm, name, lambda n, name=name, real=getattr(lm, name): seen.setdefault(name, (n, real(n)))[1])
+    for name in ("Reader", "Speller"):
+        monkeypatch.setattr(lm, name, lambda *a, name=name, real=getattr(lm, name): seen.setdefault(name, a) and real(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lm.score(docs, hot=3000, coded=1000).count() == len(rows)
+    words = collections.Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in [*t.lower().split(), ""])
+    assert words.total() > 400_000 and len(words) > 60_000 and words[""] > 2000
+    code, _, symbols, *_ = seen["Reader"]
+    assert symbols.sum() == words.total() and seen["word_weights"][0].sum() == (code.length * symbols).sum()
+    letters = seen["Speller"][0].length
+    assert seen["spelled_weights"][0].sum() == sum(letters[c] for w in words for c in (w + " ").encode())
+    # At the greatest likelihood the slope is that of the prior, which draws to 0.3.
+    x, gate, n = np.random.default_rng(4).normal(size=(900, 3)), np.arange(900) % 2, np.arange(900) % 7
+    x[:, 0] += 1
+    w = lm.best_weights(n, x, gate, 3)
+    q = n / (1 + np.exp((x * w[gate]).sum(axis=1)))
+    assert w[2] == pytest.approx(0.3) and [[q[gate == g] @ x[gate == g, k] - (w[g, k] - 0.3) for k in range(3)] for g in (0, 1)] == pytest.approx(np.zeros((2, 3)), abs=1e-4)
+
+
+def test_language_model_counts_choices_by_state():
+    """The counts that weights are learned from, against a loop over texts, words and bits; stored word numbers read as texts do."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, lm = random.Random(14), language_model
+    vocab = [f"w{i}".encode() for i in range(40)]
+    texts = [b" ".join(rng.choice(vocab[: rng.choice((5, 40))]) for _ in range(n)) for n in (0, 1, 3, 17, 40, 600)]
+    coded, bits, hot = 25, 20, [b"", *vocab[:30]]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [t.decode() for t in texts]})
+    stored = list(lm._numbered(hot)(iter([batch])))
+    for a, b in zip(next(lm.texts_of(iter([batch]), lm._Ids(hot))), next(lm.texts_of(iter(stored), lm._Ids(hot))), strict=True):
+        assert (a[0], a[2], a[3], a[1].tolist()) == (b[0], b[2], b[3], b[1].tolist())
+    place = {w: i for i, w in enumerate(hot)}
+    number = lambda w: min(place.get(w, len(hot)), coded)
+    many = collections.Counter(number(w) for t in texts for w in [*t.split(), b""])
+    symbols = np.array([many[s] for s in range(coded + 1)])
+    code = lm.Code(symbols)
+    n = np.zeros(2 * lm.ORDERS << bits, np.int32)
+    for b in lm._word_tables(code, bits, hot[:coded], coded)(iter(stored)):
+        np.array_split(n, lm._CHUNKS)[b.column("chunk")[0].as_py()][:] = np.frombuffer(b.column("n")[0].as_py(), np.int32)
+    zeros, ones = n.reshape(2, -1)
+    got = np.zeros(lm.WORD_CELLS, np.int64)
+    for b in lm._word_cells(code, bits, lm.states(zeros, ones), lm.plain_states(*lm.node_counts(code, symbols)), hot[:coded], coded)(iter(stored)):
+        np.array_split(got, lm._CHUNKS)[b.column("chunk")[0].as_py()][:] = np.frombuffer(b.column("n")[0].as_py(), np.int64)
+    steps = []
+    for t in texts:
+        before = [coded + 1] * 2
+        steps.append([])
+        for s in map(number, [*t.split(), b""]):
+            at = range(code.first[s], code.first[s] + code.length[s])
+            steps[-1] += [(("one", before[-1], code.node[k]), ("two", *before[-2:], code.node[k]), ("plain", code.node[k]), int(code.bit[k])) for k in at]
+            before.append(s)
+    counted = collections.Counter((c, bit) for text in steps for *cs, bit in text for c in cs)
+    expected = collections.Counter()
+    for text in steps:
+        own = collections.Counter()
+        for one, two, plain, bit in text:
+            pair = lambda c: (counted[c, bit] - 1, counted[c, 1 - bit])  # noqa: B023, E731
+            mine = own[plain, bit], own[plain, 1 - bit]
+            states = [int(lm.state(*map(np.int64, p))) for p in (pair(one), pair(two), tuple(int(lm._LEAST[lm._STEP[m]]) for m in mine))]
+            ahead, against = pair(plain)
+            expected[((states[0] * lm.STATES + states[1]) * lm.STATES + states[2]) * lm.PLAIN + int(lm.rung(lm.odds(against, ahead), lm.PLAIN, lm.PLAIN_BEND))] += 1
+            own[plain, bit] += 1
+    assert {int(c): int(got[c]) for c in np.flatnonzero(got)} == dict(expected)
+
+
 def brute_components(rows, k, percent):
     sets = []
     for _, t in rows:
