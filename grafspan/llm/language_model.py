@@ -47,7 +47,7 @@ HOT, CODED = 1 << 18, 1 << 16
 BLOCK, EARLY, LATER, SEGMENT = 16, 256, 256, 1 << 16
 RATE = 0.02
 PLACES, GATES = 4, 4 * (BYTES + 1)
-_CHUNKS, _PLACE_BITS = 64, 26
+_CHUNKS = 64
 _GOLD, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _PREFIX = np.random.default_rng(20_240_505).integers(0, 2**64, (64, 256), dtype=np.uint64)
 _SALT = np.random.default_rng(20_240_506).integers(0, 2**64, 8, dtype=np.uint64)
@@ -105,7 +105,13 @@ class Code:
             self.node[place], self.bit[place] = on[s], bit[s]
         self.nodes = max(1, n - 1)
         self.name = self.node.astype(np.uint64) * _GOLD * _ODD
-        self.key = self.node << _PLACE_BITS + 1 | self.bit
+        #: Of each symbol its bits, the first one lowest, and a one above them; of each node the nodes that zero and one lead to.
+        self.word, self.root = np.ones(n, np.int64), self.nodes - 1
+        for k, (on, bit) in enumerate(steps):
+            self.word = np.where(on >= 0, self.word << 1 | bit, self.word)
+        self.child = np.zeros(2 * self.nodes, np.int64)
+        inner = np.arange(n, 2 * n - 2)
+        self.child[2 * (parent[inner] - n) + side[inner]] = inner - n
 
     def choices(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first choice of each symbol, how many it has, places of all choices in the code)."""
@@ -218,6 +224,16 @@ def odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -8, 8)
 
 
+def log1p(x: np.ndarray) -> np.ndarray:
+    """log(1 + x) of single-precision numbers, without losing small ones to rounding; faster than numpy's."""
+    u = 1 + x
+    out = np.log(u)
+    u -= 1
+    np.maximum(u, np.float32(1e-30), out=u)
+    out *= x / u
+    return out
+
+
 # Starting weights. A choice is seen from the branch taken: ahead and against are how often its context went there and elsewhere.
 # States: each pair of counts up to ``FEW`` together is one, beyond that log-odds in ``RUNGS`` steps, finer near zero.
 FEW, RUNGS, PLAIN = 3, 33, 17
@@ -340,8 +356,9 @@ class Speller:
             gate = place * (BYTES + 1) + sum(self.known[s] for s in slots)
             z = (0.3 * self.weights[:, BYTES])[gate]
             for k, s in enumerate(slots):
-                z += (self.weights[:, k] / 15)[gate] * self.odds[s]
-            out[i : i + len(part)] = np.add.reduceat(-np.log1p(np.exp(-np.clip(z * (2.0 * bit - 1), -30, 30))), first)
+                z += (self.weights[:, k] / 15)[gate] * self.odds[s].astype(np.float32)
+            z *= 1 - 2 * bit.astype(np.float32)
+            out[i : i + len(part)] = -np.add.reduceat(log1p(np.exp(np.clip(z, -30, 30))), first, dtype=np.float64)
         return out
 
 
@@ -361,12 +378,24 @@ def level(n: np.ndarray) -> np.ndarray:
     return (n > 0).astype(np.int8) + (n > FEW)
 
 
-def word_slots(symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, code: Code, bits: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(choices of each word, places in the code and slots by context of all choices)."""
-    _, size, entry = code.choices(symbols)
+def word_contexts(before: np.ndarray, before2: np.ndarray) -> list[np.ndarray]:
+    """Numbers of each word's contexts."""
     one = mix64(before.astype(np.uint64) ^ _SALT[4])
-    two = mix64(one + before2.astype(np.uint64) * _ODD)
-    return size, entry, code.slots([one, two], size, entry, bits)
+    return [one, mix64(one + before2.astype(np.uint64) * _ODD)]
+
+
+def word_slots(contexts: list[np.ndarray], word: np.ndarray, node: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """As ``Code.slots``, of choices of some words at some nodes; contexts are multiplied by ``_ODD`` before."""
+    name = node.view(np.uint64) * _GOLD
+    name *= _ODD
+    for k, c in enumerate(contexts):
+        s = c[word]
+        s += name
+        s >>= np.uint64(64 - bits)
+        out = s.view(np.int64)
+        if k:
+            out += k << bits
+        yield out
 
 
 def node_counts(code: Code, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -376,29 +405,34 @@ def node_counts(code: Code, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[::2], both[1::2]
 
 
-def in_text(text: np.ndarray, size: np.ndarray, entry: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Zeros and ones that each choice's node had before in its text, with the choice's place and bit: sorted by text and node."""
-    if not len(entry):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none
-    # Sorting numbers that hold their own place and bit is faster than sorting places.
-    packed = np.repeat(text * code.nodes << _PLACE_BITS + 1, size)
-    packed += code.key[entry]
-    packed += np.arange(0, 2 * len(entry), 2)
-    packed.sort()
-    b = packed & 1
-    packed >>= 1
-    order = packed & (1 << _PLACE_BITS) - 1
-    packed >>= _PLACE_BITS
-    first = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
-    many = np.diff(np.append(first, len(packed)))
-    ones = np.cumsum(b)
-    ones -= b
-    ones -= np.repeat(ones[first], many)
-    n = np.arange(len(packed))
-    n -= np.repeat(first, many)
-    n -= ones
-    return n, ones, order, b
+def descend(code: Code, symbols: np.ndarray, begin: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """All choices, by their depth in the tree: (words, nodes, bits, zeros and ones that the node had before in the word's text).
+
+    ``begin`` is the place of the first word of each word's text. Words that meet at a node stand side by side, in the order of the text;
+    from one depth to the next all that took zero move before all that took one. So nothing is sorted."""
+    word = np.arange(len(symbols) if len(code.node) else 0)  # a code of one symbol has no choices
+    rest, first, node = code.word[symbols[word]], begin[word], np.full(len(word), code.root)
+    while len(word):
+        bit = rest & 1
+        ones = np.cumsum(bit)
+        ones -= bit
+        n1 = ones - ones[first]
+        n0 = np.arange(len(word))
+        n0 -= first
+        n0 -= n1
+        more, one = rest > 3, bit > 0  # the others have no bits left
+        zeros = np.flatnonzero(more > one)
+        at = np.concatenate((zeros, np.flatnonzero(more & one)))
+        low = len(zeros)
+        # A word has as many others of its next node before it as took its branch before.
+        start, own, down, rest = np.arange(len(at)), n0[at], node[at], rest[at]
+        own[low:] = n1[at[low:]]
+        start -= own
+        down <<= 1
+        down[low:] += 1
+        rest >>= 1
+        yield word, node, bit, n0, n1
+        word, first, node = word[at], start, code.child[down]
 
 
 def turn_of(place):  # noqa: ANN001, ANN201
@@ -411,31 +445,60 @@ def rate_at(turn: int, rate: float) -> float:
     return rate if turn < EARLY // BLOCK else rate * 4 * BLOCK / LATER
 
 
+#: Log-odds that slots of a table have.
+SLOT_ODDS = (np.append([np.rint(odds(np.float64(n - b), np.float64(b)) * 15) for n in range(FEW + 1) for b in range(n + 1)], np.arange(-120, 122)) * np.float32(1 / 15)).astype(np.float32)
+
+
+#: What is known of a choice: states of its slots in two contexts, log-odds without context and in the text itself; text, gate and bit in one number.
+CHOICE = np.dtype([("one", np.int16), ("two", np.int16), ("plain", np.float32), ("own", np.float32), ("key", np.int32)])
+GROUP = 40_000
+
+
 class Reader:
     """What the word model needs: code, tables of odds and levels, and starting weights. Its size is bounded."""
 
     def __init__(self, code: Code, bits: int, many: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weights: np.ndarray, rate: float = RATE):
         self.code, self.bits, self.weights, self.rate = code, bits, weights, rate
-        self.plain = odds(*node_counts(code, many)).astype(np.float32)[code.node]
-        #: Log-odds in fifteenths, four times, and the level.
-        self.table = np.rint(odds(zeros, ones) * 15).astype(np.int16) * 4 + level(zeros.astype(np.int64) + ones)
-
-    def inputs(self, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(log-odds, gate, bit, text) of all choices of some words."""
-        size, entry, slots = word_slots(symbols, before, before2, self.code, self.bits)
-        n0, n1, order, _ = in_text(text, size, entry, self.code)
-        x, gate = np.empty((INPUTS, len(entry)), np.float32), np.zeros(len(entry), np.int8)
-        for k, s in enumerate(slots):
-            both = self.table[s]
-            np.multiply(both >> 2, np.float32(1 / 15), out=x[k])
-            gate = gate * np.int8(LEVELS) + (both & 3).astype(np.int8)
-        x[ORDERS] = self.plain[entry]
-        x[ORDERS + 1][order] = np.clip(_LOG[n1] - _LOG[n0], -8, 8)
-        own = np.empty(len(entry), np.int8)
-        own[order] = level(n0 + n1)
-        gate = gate * np.int8(LEVELS) + own
-        bit, of = self.code.bit[entry], np.repeat(text, size)
-        return x, gate, bit, of
+        self.plain = odds(*node_counts(code, many)).astype(np.float32)
+        #: Of each slot one of 252 numbers, which name its log-odds in fifteenths and its level: small counts each have their own.
+        seen = zeros.astype(np.int64) + ones
+        self.table = np.where(seen <= FEW, seen * (seen + 1) // 2 + ones, len(_PAIRS) + 120 + np.rint(odds(zeros, ones) * 15)).astype(np.uint8)
+
+    def inputs(self, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, starts: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """``CHOICE`` of all choices of some words; ``place`` is that of each word's first one."""
+        out = np.empty(int(self.code.length[symbols].sum()), CHOICE)
+        whole = out.view(np.complex128)  # a row at once
+        low = 0
+        while low < len(starts) - 1:  # a few texts at a time, which stay in a processor's cache
+            high = max(low + 1, int(np.searchsorted(starts, starts[low] + GROUP, side="right")) - 1)
+            i, j = starts[low], starts[high]
+            sizes = np.diff(starts[low : high + 1])
+            contexts = [c * _ODD for c in word_contexts(before[i:j], before2[i:j])]
+            text = np.repeat(np.arange(low, high) * WORD_GATES, sizes)
+            for depth, (word, node, bit, n0, n1) in enumerate(descend(self.code, symbols[i:j], np.repeat(starts[low:high] - i, sizes))):
+                some, gate = np.empty(len(word), CHOICE), np.zeros(len(word), np.int8)
+                for name, s in zip(("one", "two"), word_slots(contexts, word, node, self.bits), strict=True):
+                    some[name] = seen = self.table[s]
+                    gate *= LEVELS
+                    gate += seen > 0
+                    gate += seen >= len(_PAIRS)
+                some["plain"] = self.plain[node]
+                own = _LOG[n1]
+                own -= _LOG[n0]
+                np.clip(own, -8, 8, out=some["own"])
+                n0 += n1
+                gate *= LEVELS
+                gate += level(n0)
+                of = text[word]
+                of += gate
+                of <<= 1
+                of += bit
+                some["key"] = of
+                at = place[i:j][word]
+                at += depth
+                whole[at] = some.view(np.complex128)
+            low = high
+        return out
 
     def score(self, symbols: np.ndarray, before: np.ndarray, before2: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Natural log probability of each text's choices. All texts advance together, a block at a time; longer ones stand first."""
@@ -443,33 +506,46 @@ class Reader:
         order = np.argsort(-sizes, kind="stable")
         rank = np.empty(len(sizes), np.int64)
         rank[order] = np.arange(len(sizes))
-        text = np.repeat(rank, sizes)
+        by_size = np.argsort(np.repeat(rank, sizes), kind="stable")
+        symbols, before, before2, sizes = symbols[by_size], before[by_size], before2[by_size], sizes[order]
+        starts = np.append(0, np.cumsum(sizes))
         turn = turn_of(np.arange(len(symbols)) - np.repeat(starts[:-1], sizes))
-        by_turn = np.argsort(turn * len(sizes) + text, kind="stable")
-        turn = turn[by_turn]
-        x, gate, bit, of = self.inputs(symbols[by_turn], before[by_turn], before2[by_turn], text[by_turn])
+        by_turn = np.argsort(turn, kind="stable")
         choices = np.append(0, np.cumsum(self.code.length[symbols[by_turn]]))
-        cut = choices[np.searchsorted(turn, np.arange(int(turn[-1]) + 2))] if len(turn) else [0]
+        place = np.empty(len(symbols), np.int64)
+        place[by_turn] = choices[:-1]
+        all_choices = self.inputs(symbols, before, before2, starts, place)
+        cut = choices[np.searchsorted(turn[by_turn], np.arange(int(turn.max()) + 2))] if len(turn) else [0]
         w = [np.tile(self.weights[:, k].astype(np.float32), len(sizes)) for k in range(INPUTS)]  # of each input, texts x gates
-        total, key, sign = np.zeros(len(sizes)), of * WORD_GATES + gate, (2 * bit - 1).astype(np.float32)
+        away, of = np.empty(len(all_choices), np.float32), np.empty(len(all_choices), np.int64)
         for t, (low, high) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if low == high:
                 continue
-            xs, ks, texts = x[:, low:high], key[low:high], of[low:high]
-            z = w[0][ks] * xs[0]
+            some, key = all_choices[low:high], of[low:high]
+            key[:] = some["key"]
+            sign = (key & 1).astype(np.float32)
+            sign *= 2
+            sign -= 1
+            key >>= 1
+            x = [SLOT_ODDS[some["one"]], SLOT_ODDS[some["two"]], some["plain"].copy(), some["own"].copy()]
+            z = w[0][key]
+            z *= x[0]
             for k in range(1, INPUTS):
-                z += w[k][ks] * xs[k]
-            z *= sign[low:high]
-            n = int(texts.max()) + 1
-            away = np.exp(-np.clip(z, -30, 30))
-            loss = np.log1p(away)
-            total[:n] -= np.bincount(texts, loss, n)
-            error = sign[low:high] * (away / (1 + away)) * np.float32(rate_at(t, self.rate))  # 1 - p of the branch taken
+                a = w[k][key]
+                a *= x[k]
+                z += a
+            z *= -sign
+            np.clip(z, -30, 30, out=z)
+            part = np.exp(z, out=away[low:high])
+            error = part / (1 + part)  # 1 - p of the branch taken
+            error *= sign
+            error *= np.float32(rate_at(t, self.rate))
+            n = int(key.max()) + 1
             for k in range(INPUTS):
-                w[k][: n * WORD_GATES] += np.bincount(ks, error * xs[k], n * WORD_GATES)
-        out = np.empty(len(sizes))
-        out[order] = total
-        return out
+                x[k] *= error
+                w[k][:n] += np.bincount(key, x[k], n)
+        of //= WORD_GATES
+        return -np.bincount(of, log1p(away), len(sizes))[rank]
 
 
 class _Ids(dict):
@@ -517,7 +593,7 @@ def _numbered(hot: list[bytes]):
     return run
 
 
-def texts_of(batches: Iterator[pa.RecordBatch], ids: _Ids | dict, room: int = 120_000) -> Iterator[list[tuple]]:
+def texts_of(batches: Iterator[pa.RecordBatch], ids: _Ids | dict, room: int = 80_000) -> Iterator[list[tuple]]:
     """Lists of (doc_id, word numbers, how many of them stand before, bytes of the text), texts in segments, with some ``room`` of words each.
 
     Batches hold texts, or word numbers as ``_numbered`` makes them, with the same hot table."""
@@ -585,13 +661,13 @@ def _word_tables(code: Code, bits: int, hot: list[bytes], coded: int):
         now, room = np.zeros(len(n), np.int32), 2**31 - 1  # smaller numbers are counted faster
         for held in texts_of(batches, {w: i for i, w in enumerate(hot)}, 150_000):
             _, symbols, before, before2, _ = sequence(held, coded)
-            _, entry, slots = word_slots(symbols, before, before2, code, bits)
+            _, size, entry = code.choices(symbols)
             up = side[entry]
             room -= len(entry)
             if room < 0:
                 n += now
                 now[:], room = 0, 2**31 - 1 - len(entry)
-            for s in slots:
+            for s in code.slots(word_contexts(before, before2), size, entry, bits):
                 s += up
                 np.add.at(now, s, np.int32(1))
         yield from _chunks(np.minimum(n + now, 2**31 - 1))
@@ -611,22 +687,27 @@ def _word_cells(code: Code, bits: int, seen: np.ndarray, plain: np.ndarray, hot:
     """Training texts to how many of their choices have each combination of states, each choice's own occurrence left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, side, last = np.zeros(WORD_CELLS, np.int64), code.bit.astype(np.int64) * (ORDERS << bits), plain[code.node + code.bit.astype(np.int64) * code.nodes].astype(np.int64)
-        for held in texts_of(batches, {w: i for i, w in enumerate(hot)}, 120_000):
+        n = np.zeros(WORD_CELLS, np.int64)
+        for held in texts_of(batches, {w: i for i, w in enumerate(hot)}):
             _, symbols, before, before2, starts = sequence(held, coded)
-            size, entry, slots = word_slots(symbols, before, before2, code, bits)
-            n0, n1, order, bit = in_text(np.repeat(np.arange(len(starts) - 1), np.diff(starts)), size, entry, code)
-            bit *= _STEPS**2
-            bit += _STEP[n0]
-            bit += _STEP_ONES[n1]
-            own = np.empty(len(entry), np.uint8)
-            own[order] = _OWN[bit]
-            cell, up = last[entry], side[entry]
-            for s, place in zip(slots, (STATES**2 * PLAIN, STATES * PLAIN), strict=True):
-                s += up
-                cell += seen[s] * np.int64(place)
-            cell += own * np.int64(PLAIN)
-            np.add.at(n, cell, 1)
+            contexts = [c * _ODD for c in word_contexts(before, before2)]
+            for word, node, bit, n0, n1 in descend(code, symbols, np.repeat(starts[:-1], np.diff(starts))):
+                up = bit * (ORDERS << bits)
+                cell = np.zeros(len(word), np.int64)
+                for s in word_slots(contexts, word, node, bits):
+                    s += up
+                    cell *= STATES
+                    cell += seen[s]
+                own = bit * _STEPS**2
+                own += _STEP[n0]
+                own += _STEP_ONES[n1]
+                cell *= STATES
+                cell += _OWN[own]
+                cell *= PLAIN
+                bit *= code.nodes
+                bit += node
+                cell += plain[bit]
+                np.add.at(n, cell, 1)
         yield from _chunks(n, np.int64)
 
     return run
@@ -652,7 +733,7 @@ def _scorer(reader: Reader, speller: Speller, hot: list[bytes], hot_spelled: np.
             known = numbers < len(hot)
             base = np.where(known, hot_base[np.where(known, numbers, 0)] if len(hot) else 0.0, 0.0)
             score, base, n_known = ((a + np.add.reduceat(b, starts[:-1])) for a, b in ((score, spelling), (0, base), (0, known.astype(np.int64))))
-            rare = [[ids.new[i - len(hot)] for i in x[lead:][x[lead:] >= len(hot)]] for _, x, lead, _ in held]
+            rare = [[ids.new[i - len(hot)] for i in x[lead:][x[lead:] >= len(hot)].tolist()] for _, x, lead, _ in held]
             names = ["uid", "doc_id", "n_bytes", "n_tokens", "n_known", "base_score", "score", "rare"]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_uids(held), pa.binary()), pa.array([d for d, _, _, _ in held], pa.int64()), pa.array([size for *_, size in held], pa.int64()), pa.array(np.diff(starts)), pa.array(n_known), pa.array(base), pa.array(score / np.log(10)), pa.array(rare, pa.list_(pa.binary()))], names)

@@ -291,6 +291,32 @@ def test_language_model_learns_weights_from_all_training_texts(spark, monkeypatc
     assert w[2] == pytest.approx(0.3) and [[q[gate == g] @ x[gate == g, k] - (w[g, k] - 0.3) for k in range(3)] for g in (0, 1)] == pytest.approx(np.zeros((2, 3)), abs=1e-4)
 
 
+def test_language_model_walks_the_tree_without_sorting():
+    """Counts that a node had before in its text, level by level, against a loop; slots keep what the mixer reads of their counts."""
+    import numpy as np
+
+    rng, lm = random.Random(15), language_model
+    for n in (1, 2, 3, 40):
+        code = lm.Code(np.array([rng.randrange(1, 2000) for _ in range(n)]))
+        sizes = [5, 1, 300, 2, 80]
+        symbols = np.array([min(rng.randrange(n), rng.randrange(n)) for _ in range(sum(sizes))])
+        begin = np.repeat(np.append(0, np.cumsum(sizes)[:-1]), sizes)
+        got = {(int(w), depth): tuple(map(int, rest)) for depth, (word, *some) in enumerate(lm.descend(code, symbols, begin)) for w, *rest in zip(word, *some, strict=True)}
+        expected, own = {}, collections.Counter()
+        for w, (s, b) in enumerate(zip(symbols, begin, strict=True)):
+            for depth in range(code.length[s]):
+                node, bit = int(code.node[code.first[s] + depth]), int(code.bit[code.first[s] + depth])
+                expected[w, depth] = node, bit, own[b, node, 0], own[b, node, 1]
+                own[b, node, bit] += 1
+        assert got == expected
+    zeros, ones = (a.reshape(-1) for a in np.meshgrid([*range(9), 50, 4000, 10**9], [*range(9), 50, 4000, 10**9]))
+    reader = lm.Reader(code, 20, np.ones(40, np.int64), zeros, ones, np.zeros((lm.WORD_GATES, lm.INPUTS)))
+    assert lm.SLOT_ODDS[reader.table] == pytest.approx(np.rint(lm.odds(zeros, ones) * 15) / 15, abs=1e-6)
+    assert ((reader.table > 0).astype(int) + (reader.table >= len(lm._PAIRS))).tolist() == lm.level(zeros + ones).tolist()
+    x = np.array([0, 1e-30, 1e-9, 6e-8, 1e-6, 1e-3, 1, 1e4, 1e13], np.float32)
+    assert lm.log1p(x) == pytest.approx(np.log1p(x.astype(float)), rel=1e-6, abs=1e-7)
+
+
 def test_language_model_counts_choices_by_state():
     """The counts that weights are learned from, against a loop over texts, words and bits; stored word numbers read as texts do."""
     import numpy as np
